@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gristmill.llm import leaks, lookalikes
+from gristmill.functions.keys import clean_key
+from gristmill.llm import leaks, lookalikes, mixing, names
 from gristmill.scratch import table
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    master = table(spark, sf_dir, "suppliers_master")
+    typed = table(spark, sf_dir, "purchase_orders").select(F.col("supplier").alias("spelling"))
+    typed = typed.unionByName(table(spark, sf_dir, "bom_parts").select(F.col("supplier").alias("spelling"))).distinct()
+    typed = typed.filter(~clean_key(F.col("spelling")).rlike("^SUP-?[0-9]+$"))
+    return names.link_names(typed, master)
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -27,6 +36,19 @@ def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.without_spans(_leaks(spark, sf_dir))
 
 
+RANKS_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
+    return mixing.mix(docs, targets, ranks_file=RANKS_FILE, seed=8)[0]
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
+    return mixing.mix(docs, targets, ranks_file=RANKS_FILE, seed=8)[1]
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.look_alike_pairs(table(spark, sf_dir, "documents"))
 
@@ -36,5 +58,5 @@ def p9_normal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "normal_text", "look")
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_items, p7_cleaned, p9_found, p9_normal_texts)}
+QUERIES = {f.__name__: f for f in (p5_found, p7_found, p7_items, p7_cleaned, p8_mix, p8_report, p9_found, p9_normal_texts)}
 SQL: dict[str, str] = {}
