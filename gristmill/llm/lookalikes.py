@@ -17,6 +17,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import pandas as pd
 import regex
@@ -177,56 +178,57 @@ def known_repairs(docs: DataFrame, text: str = "text") -> DataFrame:
                     rows.append((proposal, w))
             yield pd.DataFrame(rows, columns=["word", "token"])
 
-    seen = docs.select(F.col(text).alias("text")).mapInPandas(gather, "word string, token string").distinct()
-    tokens = seen.filter("token is not null")
-    words = seen.filter("token is null").select("word")
-    return tokens.join(words, "word", "left_semi").select("token", F.col("word").alias("repaired"))
+    seen = docs.select(F.col(text).alias("text")).mapInPandas(gather, "word string, token string")
+    by_word = seen.groupBy("word").agg(F.max(F.col("token").isNull()).alias("known"), F.collect_set("token").alias("tokens"))
+    return by_word.filter("known and size(tokens) > 0").select(F.explode("tokens").alias("token"), F.col("word").alias("repaired"))
 
 
-def unify(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
+BROADCAST_REPAIRS = 500_000  # distinct repaired words that may be broadcast; about 20 MB
+
+
+def unify(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = True,
+          broadcast_repairs: int = BROADCAST_REPAIRS) -> DataFrame:
     """``key, normal_text, look, stored`` for every row of ``docs``.
 
     ``normal_text`` is the repaired text (left out without ``with_text``), ``look`` a 128-bit digest
     of its appearance: equal for texts that look the same throughout, also where no word of the
     corpus decides a token. ``stored`` is a hash of the text as it came. Null texts stay null;
     empty ones stay empty. Rows are kept as often as they come, and only the two named columns are
-    read. Only texts with Cyrillic or Greek letters are looked at again after the corpus
-    vocabulary is known.
+    read. The accepted repairs are broadcast up to ``broadcast_repairs``; beyond that they are
+    joined to the mixed tokens of the texts that have any.
     """
     slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("stored"))
     key_type = slim.schema["key"].dataType.simpleString()
     repairs = staged(known_repairs(slim), "repairs")
-    second = F.coalesce(F.col("text").rlike(SUSPECT_TEXT), F.lit(False))
-
     def out(batch: pd.DataFrame, normal: list[str | None], seen: list[str | None]) -> pd.DataFrame:
         rows = {"key": batch["key"], "stored": batch["stored"], "look": [_digest(t) for t in seen]}
         return pd.DataFrame(rows | ({"normal_text": normal} if with_text else {}))
 
-    def simple(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            normal = [None if t is None else plain(t) for t in batch["text"]]
-            yield out(batch, normal, normal)
-
     def tokens_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"key": batch["key"], "token": [list(mixed_tokens(plain(t))) for t in batch["text"]]})
 
-    def repaired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def repaired(batches: Iterator[pd.DataFrame], shared=None) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [plain(t) for t in batch["text"]]
-            words = [set() if w is None else set(w) for w in batch["words"]]
-            normal = [repair(t, w) for t, w in zip(texts, words)] if with_text else []
-            yield out(batch, normal, [repair(t, w, keep_torn=False) for t, w in zip(texts, words)])
+            texts = [None if t is None else plain(t) for t in batch["text"]]
+            words = repeat(shared.value) if shared else [() if w is None else set(w) for w in batch["words"]]
+            pairs = list(zip(texts, words))
+            normal = [None if t is None else repair(t, w) for t, w in pairs] if with_text else []
+            yield out(batch, normal, [None if t is None else repair(t, w, keep_torn=False) for t, w in pairs])
 
     schema = f"key {key_type}, stored bigint, look string" + ", normal_text string" * with_text
-    suspects = slim.filter(second)
+    words = repairs.select("repaired").distinct()
+    if words.count() <= broadcast_repairs:
+        shared = docs.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in words.collect()))
+        return slim.mapInPandas(lambda batches: repaired(batches, shared), schema).withColumnRenamed("key", key)
+    suspect = F.coalesce(F.col("text").rlike(SUSPECT_TEXT), F.lit(False))
     words_of = (
-        suspects.mapInPandas(tokens_of, f"key {key_type}, token array<string>").select("key", F.explode("token").alias("token"))
+        slim.filter(suspect).mapInPandas(tokens_of, f"key {key_type}, token array<string>").select("key", F.explode("token").alias("token"))
         .join(repairs, "token").groupBy("key").agg(F.collect_set("repaired").alias("words"))
     )
-    again = suspects.join(words_of, "key", "left").select("key", "stored", "text", "words").mapInPandas(repaired, schema)
-    done = slim.filter(~second).mapInPandas(simple, schema).unionByName(again)
-    return done.withColumnRenamed("key", key)
+    joined = slim.filter(suspect).join(words_of, "key", "left").select("key", "stored", "text", "words")
+    rest = slim.filter(~suspect).withColumn("words", F.lit(None).cast("array<string>"))
+    return joined.unionByName(rest).mapInPandas(repaired, schema).withColumnRenamed("key", key)
 
 
 def _digest(text: str | None) -> str | None:
