@@ -14,7 +14,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gristmill.scratch import staged
 
@@ -48,11 +48,6 @@ _UMLAUTS = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue"})
 _DOTTED = re.compile(r"\b((?:[a-z]\. ?){2,})(?!\w)")
 _HYPHEN = re.compile(r"(?<=\w)[-'’‐‑]+(?=\w)")
 
-PARSED = T.StructType([
-    T.StructField("own", T.ArrayType(T.ArrayType(T.StringType()))), T.StructField("trade", T.StringType()),
-    T.StructField("leading", T.StringType()), T.StructField("legal", T.StringType()),
-])
-
 
 def fold(text: str) -> str:
     text = unicodedata.normalize("NFKD", text.casefold().translate(_LETTERS))
@@ -120,14 +115,6 @@ def read_name(text: str) -> tuple[list[list[str]], str | None, str | None, str |
     return own, trade, leading, legal
 
 
-def _read(names: Column) -> Column:
-    @F.pandas_udf(PARSED)
-    def read(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([read_name(t) for t in texts], columns=["own", "trade", "leading", "legal"])
-
-    return read(names)
-
-
 END = ""  # marks the end of a word in a trie
 
 
@@ -207,14 +194,24 @@ def near_words(spelled: DataFrame, known: DataFrame, blocks: int = 4) -> DataFra
                 rows += [(word, turn(k), n) for k, n in walk(trie, turn(word), 1).items()]
         return pd.DataFrame(rows, columns=["word", "known", "edits"])
 
+    # a fixed number of tasks: the work is in the walks, not in the bytes by which small tasks are merged
+    n = int(spelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked, held = (df.repartition(n, "shard", "block") for df in (asked, held))
     pairs = asked.groupBy("shard", "block").cogroup(held.groupBy("shard", "block")).applyInPandas(join, "word string, known string, edits int")
     return pairs.distinct()
 
 
 def parsed_names(names: DataFrame) -> DataFrame:
     """``name, n_own, own, trade, leading, legal`` of each distinct name that has own words."""
-    read = names.select("name").distinct().withColumn("p", _read(F.col("name")))
-    return read.select("name", F.size("p.own").alias("n_own"), "p.own", "p.trade", "p.leading", "p.legal").filter("n_own > 0")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(name, *read_name(name)) for name in batch["name"]]
+            yield pd.DataFrame([(n, len(own), own, t, lead, legal) for n, own, t, lead, legal in rows if own],
+                               columns=["name", "n_own", "own", "trade", "leading", "legal"])
+
+    parsed = "name string, n_own int, own array<array<string>>, trade string, leading string, legal string"
+    return names.select("name").distinct().mapInPandas(read, parsed)
 
 
 def _words(parsed: DataFrame) -> DataFrame:
@@ -280,8 +277,8 @@ def link_names(spellings: DataFrame, master: DataFrame) -> DataFrame:
     master = master.select(F.trim("supplier_id").alias("id"), trimmed(F.col("supplier_name")).alias("name")).distinct()
     master = staged(master.filter("id is not null and name <> ''"), "master")
     texts = spellings.select(trimmed(F.col("spelling")).alias("name")).filter("name <> ''")
-    known = staged(parsed_names(master.select("name")), "known")
-    parsed = parsed_names(texts.unionByName(master.select("name")))
+    parsed = staged(parsed_names(texts.unionByName(master.select("name"))), "parsed")
+    known = parsed.join(master.select("name").distinct(), "name", "left_semi")
     matches = staged(match_names(parsed, known), "matches")
 
     kin = matches.filter("odds = 0 and edits <= 1").join(known.select("name", F.col("trade").alias("t")), "name").filter("t is not null")
