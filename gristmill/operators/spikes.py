@@ -112,5 +112,7 @@ def flag_readings(df: DataFrame, source: str, day: str, row_id: str, metrics: Se
         return pd.DataFrame(out, columns=["rid", "metric", "verdict"])
 
     id_type = df.schema[row_id].dataType.simpleString()
+    # a fixed number of tasks: the work per row is what counts, not the bytes by which small tasks are merged
+    rows = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src", "block")
     flagged = rows.groupBy("src", "block").applyInPandas(one, f"rid {id_type}, metric string, verdict string")
     return flagged.withColumnRenamed("rid", row_id)
