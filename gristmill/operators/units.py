@@ -10,6 +10,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from gristmill.scratch import staged
+
 # Names of units, with the size of each in nanometres or days.
 UNITS = {
     "length": {
@@ -158,7 +160,7 @@ def convert(texts: DataFrame, keys: list[str]) -> DataFrame:
     spelling the row states elsewhere, or null). Repeated rows count once. Null, blank and other
     texts give no row; neither do texts of which a term has no known unit.
     """
-    terms = terms_of(texts.filter(F.col("text").isNotNull()).distinct())
+    terms = staged(terms_of(texts.filter(F.col("text").isNotNull()).distinct()), "terms")
     aliases = alias_dictionary(terms.select("kind", "spelling"))
     valued = terms.join(aliases, ["kind", "spelling"], "left").withColumn("value", F.col("number") * F.col("factor"))
     return (
