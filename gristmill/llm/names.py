@@ -95,6 +95,8 @@ def read_name(text: str) -> tuple[list[list[str]], str | None, str | None, str |
             legal = LEGAL[plain]
         elif plain in _LEADING:
             leading = _LEADING[plain]
+        elif len(plain) >= 4 and (region := next((r for r in REGIONS if r.startswith(plain)), None)):
+            leading = region
         elif plain == "and" or plain in FILLERS:
             continue
         elif len(plain) == 1:
@@ -269,9 +271,9 @@ def link_names(spellings: DataFrame, master: DataFrame) -> DataFrame:
 
     ``spellings`` has ``spelling``, ``master`` has ``supplier_id, supplier_name``; all names of the
     master count as spellings too. Ids are one organisation if they share a name, or if names of
-    theirs differ by one edit and agree in trade, legal form and leading word. Blanks around names
-    do not count; null and blank ones give no row. A spelling that may mean several organisations
-    equally well means none. Repeated rows count once.
+    theirs differ by one edit at most and agree in trade, legal form and leading word. Blanks around names
+    do not count; null and blank ones give no row. A known name means its own; any
+    other spelling that may mean several organisations equally well means none. Repeated rows count once.
     """
     trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
     master = master.select(F.trim("supplier_id").alias("id"), trimmed(F.col("supplier_name")).alias("name")).distinct()
@@ -281,14 +283,20 @@ def link_names(spellings: DataFrame, master: DataFrame) -> DataFrame:
     known = parsed.join(master.select("name").distinct(), "name", "left_semi")
     matches = staged(match_names(parsed, known), "matches")
 
-    kin = matches.filter("odds = 0 and edits <= 1").join(known.select("name", F.col("trade").alias("t")), "name").filter("t is not null")
+    trade = known.select("name", F.col("trade").alias("t"))
+    close = matches.filter("odds = 0 and edits <= 1").join(trade, "name").join(
+        trade.withColumnsRenamed({"name": "known_name", "t": "known_t"}), "known_name").filter("known_t is not null")
+    # a known name without a trade is kin to names of one trade only
+    only = close.filter("t is null").groupBy("name").agg(F.min("known_t").alias("lo"), F.max("known_t").alias("hi")).filter("lo = hi")
+    kin = close.filter("t is not null").select("name", "known_name").unionByName(
+        close.filter("t is null").join(only, "name", "left_semi").select("name", "known_name"))
     a, b = master.withColumnsRenamed({"id": "a"}), master.withColumnsRenamed({"id": "b", "name": "known_name"})
     links = kin.join(a, "name").join(b, "known_name").filter("a <> b").select("a", "b")
     links = staged(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     orgs = organisations(master, links)
 
     named = master.join(orgs, "id").select(F.col("name").alias("known_name"), "org").distinct()
-    meant = matches.join(named, "known_name").withColumn("rank", F.struct("edits", "odds"))
+    meant = matches.join(named, "known_name").withColumn("rank", F.struct(F.col("name") != F.col("known_name"), "edits", "odds"))
     best = meant.withColumn("best", F.min("rank").over(Window.partitionBy("name"))).filter("rank = best")
     return best.groupBy("name").agg(F.min("org").alias("lo"), F.max("org").alias("hi")).filter("lo = hi").select(
         F.col("name").alias("spelling"), F.col("lo").alias("supplier_id")
