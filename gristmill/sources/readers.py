@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
@@ -88,6 +89,16 @@ def xlsx_text(content: bytes) -> str:
     return "\n".join(lines)
 
 
+def csv_text(content: bytes) -> str:
+    """Rows as trimmed cells joined by `` | ``, blank rows left out."""
+    try:
+        text = content.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        text = content.decode("cp1252", "replace")
+    rows = ([cell.strip() for cell in row] for row in csv.reader(io.StringIO(text, newline="")))
+    return "\n".join(" | ".join(row) for row in rows if any(row))
+
+
 _PDF_TEXT = re.compile(rb"\[((?:\\.|[^\]\\])*)\]\s*TJ|\(((?:\\.|[^()\\])*)\)\s*(?:Tj|'|\")|(T\*|Td|TD|ET)", re.S)
 _PDF_PART = re.compile(rb"\(((?:\\.|[^()\\])*)\)|(-?\d+(?:\.\d+)?)", re.S)
 _PDF_ESCAPE = re.compile(rb"\\([0-7]{1,3}|.)", re.S)
@@ -129,7 +140,7 @@ def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     typed = raw.select("path", format_of(F.col("path"), F.col("content")).alias("format"), "content")
-    office = {"docx": docx_text, "xlsx": xlsx_text, "pdf": pdf_text}
+    office = {"docx": docx_text, "xlsx": xlsx_text, "pdf": pdf_text, "csv": csv_text}
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -146,7 +157,7 @@ def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     plain = typed.filter(~F.col("format").isin(*office)).withColumn("raw", text).select(
         "path", "format", F.when(F.col("format") == "eml", mail_subject(F.col("raw"))).alias("title"),
         F.when(F.col("format") == "html", strip_html(F.col("raw"))).when(F.col("format") == "eml", mail_body(F.col("raw")))
-        .when(F.col("format") == "csv", F.regexp_replace("raw", ",", " | ")).otherwise(F.col("raw")).alias("text"),
+        .otherwise(F.col("raw")).alias("text"),
         F.lit(None).cast("string").alias("error"),
     )
     return plain.unionByName(binary)

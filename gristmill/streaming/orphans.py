@@ -5,21 +5,26 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 CHANGES = "target string, key string, ref_id string, change string"
 STATE = "alive int, refs array<string>, waiting boolean"
 
 
-def track(events: DataFrame) -> DataFrame:
+def track(events: DataFrame, shards: int = 16) -> DataFrame:
     """``target, key, ref_id, change`` as an update stream from events in order of arrival.
 
     ``events`` has ``target, key, kind, ref_id``; kind is ``parent``, ``deleted`` or ``ref``. A
     reference to a key without a living parent is ``opened``; the parent's arrival makes it
     ``resolved``, the deletion of the last parent ``reopened``, for all references to the key
-    so far. The state of a key is its number of parents and the ids of its references.
+    so far. The state of a key is its number of parents and the ids of its references, spread over
+    ``shards`` by reference, so that a key named by very many rows has no single state; parents
+    reach every shard.
     """
+    own = F.array(F.pmod(F.xxhash64("ref_id"), F.lit(shards)).cast("int"))
+    every = F.sequence(F.lit(0), F.lit(shards - 1))
+    events = events.withColumn("shard", F.explode(F.when(F.col("kind") == "ref", own).otherwise(every)))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         alive, refs, _ = state.get if state.exists else (0, [], False)
@@ -35,6 +40,6 @@ def track(events: DataFrame) -> DataFrame:
                 if before != (alive > 0):
                     out += [(r, "resolved" if alive else "reopened") for r in refs]
         state.update((alive, refs, alive == 0 and bool(refs)))
-        yield pd.DataFrame([(*key, *row) for row in out], columns=["target", "key", "ref_id", "change"])
+        yield pd.DataFrame([(*key[:2], *row) for row in out], columns=["target", "key", "ref_id", "change"])
 
-    return events.groupBy("target", "key").applyInPandasWithState(step, CHANGES, STATE, "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy("target", "key", "shard").applyInPandasWithState(step, CHANGES, STATE, "update", GroupStateTimeout.NoTimeout)
