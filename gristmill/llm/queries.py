@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gristmill.functions.keys import clean_key
 from gristmill.llm import leaks, lookalikes, mixing, names
+from gristmill.llm.sql import SQL  # noqa: F401
 from gristmill.scratch import table
 
 
@@ -59,4 +60,3 @@ def p9_normal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p5_found, p7_found, p7_items, p7_cleaned, p8_mix, p8_report, p9_found, p9_normal_texts)}
-SQL: dict[str, str] = {}
