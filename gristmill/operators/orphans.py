@@ -59,17 +59,18 @@ def find_orphans(refs: DataFrame, parents: DataFrame, period: str = "month") ->
     """
     refs = refs.filter(F.col("key").isNotNull() & F.col("ts").isNotNull())
     moves = parent_moves(parents)
-    own = [c for c in refs.columns if c not in (*KEY, "ts")]
-    nothing = [F.lit(None).cast(refs.schema[c].dataType).alias(c) for c in own]
+    own = F.struct(F.lit(1).alias("_"), *[c for c in refs.columns if c not in (*KEY, "ts")])
+    refs = refs.select(*KEY, "ts", own.alias("own"))
+    nothing = F.lit(None).cast(refs.schema["own"].dataType).alias("own")
     part = period_of(F.col("ts"), period).alias("period")
     events = (
-        refs.select(*KEY, part, "ts", F.lit(2).alias("turn"), F.lit(0).cast("bigint").alias("delta"), *own)
-        .unionByName(moves.select(*KEY, part, "ts", F.lit(1).alias("turn"), "delta", *nothing))
+        refs.select(*KEY, part, "ts", F.lit(2).alias("turn"), F.lit(0).cast("bigint").alias("delta"), "own")
+        .unionByName(moves.select(*KEY, part, "ts", F.lit(1).alias("turn"), "delta", nothing))
         .unionByName(carried_state(refs, moves, period).select(
-            *KEY, "period", F.col("period").alias("ts"), F.lit(0).alias("turn"), F.col("alive").alias("delta"), *nothing))
+            *KEY, "period", F.col("period").alias("ts"), F.lit(0).alias("turn"), F.col("alive").alias("delta"), nothing))
     )
     so_far = Window.partitionBy(*KEY, "period").orderBy("ts", "turn").rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("alive", F.sum("delta").over(so_far)).filter("turn = 2 and alive <= 0").select(*KEY, "ts", *own)
+    return events.withColumn("alive", F.sum("delta").over(so_far)).filter("turn = 2 and alive <= 0").select(*KEY, "ts", "own.*").drop("_")
 
 
 def open_orphans(refs: DataFrame, parents: DataFrame, period: str = "month") -> DataFrame:

@@ -157,10 +157,10 @@ def convert(texts: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, text, quantity`` of the texts that state a quantity, in nanometres or days.
 
     ``texts`` has the key columns, ``kind`` (length or time), ``text`` and ``described`` (a unit
-    spelling the row states elsewhere, or null). Repeated rows count once. Null, blank and other
+    spelling the row states elsewhere, or null); further columns are not read. Repeated rows count once. Null, blank and other
     texts give no row; neither do texts of which a term has no known unit.
     """
-    terms = staged(terms_of(texts.filter(F.col("text").isNotNull()).distinct()), "terms")
+    terms = staged(terms_of(texts.select(*keys, "kind", "text", "described").filter(F.col("text").isNotNull()).distinct()), "terms")
     aliases = alias_dictionary(terms.select("kind", "spelling"))
     valued = terms.join(aliases, ["kind", "spelling"], "left").withColumn("value", F.col("number") * F.col("factor"))
     return (
