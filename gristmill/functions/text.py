@@ -63,7 +63,7 @@ def mail_subject(c: Column) -> Column:
 
 def mail_body(c: Column) -> Column:
     """What follows the first blank line, up to a signature mark and without quoted lines."""
-    body = F.when(F.instr(c, "\n\n") > 0, F.regexp_replace(c, r"(?s)^.*?\n\n", "")).otherwise(F.lit(""))
+    body = F.when(F.instr(c, "\n\n") > 0, F.regexp_replace(c, r"(?s)^.*?\n\n", "")).when(c.isNotNull(), "")
     body = F.regexp_replace(F.concat(body, F.lit("\n")), r"(?s)(^|\n)-- ?\n.*$", "$1")
     return F.trim(F.regexp_replace(F.regexp_replace(body, r"(?m)^>.*(?:\n|$)", ""), r"\n+$", ""))
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from gristmill.functions import normalize as N, text as X
 from gristmill.functions.keys import clean_key, month_of
 from gristmill.operators import documents as D, graph as G, multivalue, records as R, search as S
-from gristmill.scratch import table
+from gristmill.scratch import spread, table
 
 K = 10
 CLASSES = [
@@ -18,6 +18,10 @@ CLASSES = [
 ]
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions whose number is divisible by 100."""
     asked = table(spark, sf_dir, "questions").select("qid", "question")
@@ -26,7 +30,7 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.bm25(_queries(spark, sf_dir), table(spark, sf_dir, "documents"), X.tokens(F.col("text")))
+    return S.bm25(_queries(spark, sf_dir), _documents(spark, sf_dir), X.tokens(F.col("text")))
 
 
 def bm25_topk(spark, sf_dir):
@@ -36,11 +40,11 @@ def bm25_topk(spark, sf_dir):
 def bm25_title_weighted(spark, sf_dir):
     title = X.tokens(F.coalesce("title", F.lit("")))
     words = F.concat(title, title, title, X.tokens(F.coalesce("text", F.lit(""))))
-    return S.top_k(S.bm25(_queries(spark, sf_dir), table(spark, sf_dir, "documents"), words), K)
+    return S.top_k(S.bm25(_queries(spark, sf_dir), _documents(spark, sf_dir), words), K)
 
 
 def token_df_idf(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     n = docs.count()
     df = docs.select(F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     return df.withColumn("idf", F.round(F.log(F.lit(1.0) + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6))
@@ -63,13 +67,13 @@ def _title_queries(spark, sf_dir):
 def hybrid_rrf(spark, sf_dir):
     """Titles searched by words and vectors at depth 30; both ranks fused, best 10 kept."""
     titles = _title_queries(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id")), "query_id", "left_semi")
-    words = S.top_k(S.bm25(titles, table(spark, sf_dir, "documents"), X.tokens(F.col("text"))), 3 * K)
+    words = S.top_k(S.bm25(titles, _documents(spark, sf_dir), X.tokens(F.col("text"))), 3 * K)
     near = S.vector_top_k(_vector_queries(spark, sf_dir).join(titles.select("query_id"), "query_id", "left_semi"), table(spark, sf_dir, "embeddings"), 3 * K)
     return S.top_k(S.fuse([("words", 1, words), ("vectors", 1, near.withColumnRenamed("vec_id", "doc_id"))]), K)
 
 
 def _lanes(spark, sf_dir):
-    asked, docs = _queries(spark, sf_dir), table(spark, sf_dir, "documents")
+    asked, docs = _queries(spark, sf_dir), _documents(spark, sf_dir)
     words = S.top_k(_bm25(spark, sf_dir), 2 * K)
     codes = asked.select("query_id", F.explode(X.identifiers(F.col("text"))).alias("code"))
     structured = S.top_k(
@@ -104,7 +108,7 @@ def coverage_fraction(spark, sf_dir):
 def _gold(spark, sf_dir):
     """Documents that their question's identifiers name or that hold its rarest words: here, those naming its code."""
     codes = _queries(spark, sf_dir).select("query_id", F.explode(X.identifiers(F.col("text"))).alias("code"))
-    return codes.join(D.mentions(table(spark, sf_dir, "documents")), "code").select("query_id", "doc_id").distinct()
+    return codes.join(D.mentions(_documents(spark, sf_dir)), "code").select("query_id", "doc_id").distinct()
 
 
 def retrieval_quality(spark, sf_dir):
@@ -137,13 +141,13 @@ def fact_recovery(spark, sf_dir):
 
 def doc_classify(spark, sf_dir):
     label, n = D.classify(F.col("text"), CLASSES)
-    done = table(spark, sf_dir, "documents").select("doc_type", label.alias("label"), n.alias("n"))
+    done = _documents(spark, sf_dir).select("doc_type", label.alias("label"), n.alias("n"))
     confidence = F.when(F.col("n") >= 3, "high").when(F.col("n") >= 1, "medium").otherwise("low")
     return done.groupBy("doc_type", "label", confidence.alias("confidence")).agg(F.count("*").alias("n_documents"))
 
 
 def html_strip(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter(F.col("text").rlike("<[a-zA-Z]"))
+    docs = _documents(spark, sf_dir).filter(F.col("text").rlike("<[a-zA-Z]"))
     return docs.select("doc_id", F.md5(X.strip_html(F.col("text"))).alias("plain_md5"), F.length(X.strip_html(F.col("text"))).alias("n_plain"))
 
 
@@ -173,7 +177,7 @@ def slug_ids(spark, sf_dir):
 
 
 def id_extract(spark, sf_dir):
-    return D.mentions(table(spark, sf_dir, "documents")).groupBy("code").agg(F.count("*").alias("n_documents"), F.sum("n").alias("n_mentions"))
+    return D.mentions(_documents(spark, sf_dir)).groupBy("code").agg(F.count("*").alias("n_documents"), F.sum("n").alias("n_mentions"))
 
 
 def phrase_alias_join(spark, sf_dir):
@@ -182,7 +186,7 @@ def phrase_alias_join(spark, sf_dir):
     s = table(spark, sf_dir, "suppliers_master").filter("supplier_name is not null").select(F.col("supplier_id").alias("id"), name.alias("name"))
     aliases = s.select("id", F.explode(F.array(F.lower("name"), F.lower(F.substring_index("name", " ", 2)))).alias("alias")).filter(F.length("alias") >= 4)
     sole = aliases.groupBy("alias").agg(F.min("id").alias("id"), F.countDistinct("id").alias("n")).filter("n = 1").select("alias", "id")
-    return D.phrases_in(table(spark, sf_dir, "documents"), sole).groupBy("id").agg(F.countDistinct("doc_id").alias("n_documents"))
+    return D.phrases_in(_documents(spark, sf_dir), sole).groupBy("id").agg(F.countDistinct("doc_id").alias("n_documents"))
 
 
 def alias_resolve_flag(spark, sf_dir):
