@@ -7,7 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gristmill.functions.keys import clean_key
 from gristmill.llm import leaks, lookalikes, mixing, names
 from gristmill.llm.sql import SQL  # noqa: F401
-from gristmill.scratch import table
+from gristmill.scratch import spread, table
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +23,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leaks.find_leaks(_documents(spark, sf_dir), table(spark, sf_dir, "eval_items"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,21 +45,21 @@ RANKS_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
+    docs, targets = _documents(spark, sf_dir), table(spark, sf_dir, "mix_targets")
     return mixing.mix(docs, targets, ranks_file=RANKS_FILE, seed=8)[0]
 
 
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
+    docs, targets = _documents(spark, sf_dir), table(spark, sf_dir, "mix_targets")
     return mixing.mix(docs, targets, ranks_file=RANKS_FILE, seed=8)[1]
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookalikes.look_alike_pairs(table(spark, sf_dir, "documents"))
+    return lookalikes.look_alike_pairs(_documents(spark, sf_dir))
 
 
 def p9_normal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = lookalikes.unify(table(spark, sf_dir, "documents"))
+    done = lookalikes.unify(_documents(spark, sf_dir))
     return done.select("doc_id", "normal_text", "look")
 
 
