@@ -238,13 +238,16 @@ def _digest(text: str | None) -> str | None:
 def look_alike_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key_a, key_b``: pairs of rows whose stored texts differ but look the same throughout.
 
-    Rows meet by ``look``; groups in which all stored texts are equal are left out before any pair
-    is made, so exact copies alone cost nothing. Rows without a text or key have no pair.
+    Rows meet by ``look``; exact copies are one kind of stored text, and only kinds that differ are
+    paired, so copies alone cost nothing. Rows without a text or key have no pair.
     """
     rows = staged(unify(docs, key, text, with_text=False).filter(f"look is not null and {key} is not null").distinct(), "looks")
-    varied = rows.groupBy("look").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).filter("lo <> hi").select("look")
-    members = rows.join(varied, "look", "left_semi")
-    a, b = members.alias("a"), members.alias("b")
-    return a.join(b, (F.col("a.look") == F.col("b.look")) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & (F.col("a.stored") != F.col("b.stored"))).select(
-        F.col(f"a.{key}").alias(f"{key}_a"), F.col(f"b.{key}").alias(f"{key}_b")
+    # pairs of different stored texts of one look first, then their rows: every pair of rows made is one of the result
+    kinds = rows.select("look", "stored").distinct()
+    a, b = kinds.alias("a"), kinds.alias("b")
+    differ = a.join(b, (F.col("a.look") == F.col("b.look")) & (F.col("a.stored") < F.col("b.stored"))).select(
+        F.col("a.look").alias("look"), F.col("a.stored").alias("stored"), F.col("b.stored").alias("other")
     )
+    one = rows.withColumnRenamed(key, "_one").join(differ, ["look", "stored"]).select("look", "_one", F.col("other").alias("stored"))
+    both = one.join(rows.withColumnRenamed(key, "_two"), ["look", "stored"])
+    return both.filter("_one <> _two").select(F.least("_one", "_two").alias(f"{key}_a"), F.greatest("_one", "_two").alias(f"{key}_b")).distinct()

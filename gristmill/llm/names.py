@@ -9,12 +9,13 @@ name if its own words find partners in any order, none left over, and the trades
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gristmill.scratch import staged
 
@@ -225,30 +226,54 @@ def _agree(a: Column, b: Column) -> Column:
     return F.coalesce((a == b) | (F.least(F.length(a), F.length(b)) == 1) & (F.substring(a, 1, 1) == F.substring(b, 1, 1)), F.lit(True))
 
 
-def match_names(spelled: DataFrame, known: DataFrame) -> DataFrame:
-    """``name, known_name, edits, odds``: known names whose own words and trade a spelling may stand for.
+PROFILE = ("words", "trade", "leading", "legal")
 
-    Both are ``parsed_names``. ``odds`` counts disagreements of legal form and leading word. A
-    spelling without a trade may stand for any.
+
+def profiles(parsed: DataFrame) -> DataFrame:
+    """``parsed`` beside ``words``: its own words without order, the key under which names meet."""
+    return parsed.withColumn("words", F.array_join(F.array_sort(F.transform("own", lambda forms: forms[0])), " "))
+
+
+def _key_choices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Every way to take one known word for each own word: the keys a spelling may stand for."""
+    for batch in batches:
+        rows = []
+        for name, n_own, choices in zip(batch["name"], batch["n_own"], batch["choices"]):
+            places: dict[int, list] = {}
+            for c in choices:
+                places.setdefault(c["place"], []).append((c["known"], c["edits"]))
+            if len(places) == n_own:
+                best: dict[str, int] = {}
+                for taken in itertools.product(*places.values()):
+                    key, edits = " ".join(sorted(w for w, _ in taken)), sum(e for _, e in taken)
+                    best[key] = min(edits, best.get(key, edits))
+                rows += [(name, key, edits) for key, edits in best.items()]
+        yield pd.DataFrame(rows, columns=["name", "words", "edits"])
+
+
+def match_profiles(spelled: DataFrame, known: DataFrame) -> DataFrame:
+    """``name, words, trade, leading, legal, edits, odds, own_profile``: what each spelling may stand for.
+
+    Both are ``profiles``. Names meet by the sorted key of their own words, so their order does not
+    matter and no two names are compared but those of one key, the known ones reduced to distinct
+    profiles. ``odds`` counts disagreements of legal form and leading word. A spelling without a
+    trade may stand for any.
     """
-    s_words, k_words = _words(spelled), _words(known)
-    near = near_words(s_words, k_words)
-    s = spelled.select("name", "n_own", "trade", "leading", "legal")
-    k = known.select(F.col("name").alias("known_name"), F.col("n_own").alias("k_own"), F.col("trade").alias("k_trade"),
-                     F.col("leading").alias("k_leading"), F.col("legal").alias("k_legal"))
-    left = s_words.join(near, "word").join(s, "name")
-    right = k_words.withColumnsRenamed({"name": "known_name", "place": "k_place", "word": "known"}).join(k, "known_name")
-    met = left.join(right, "known").filter(
-        (F.col("n_own") == F.col("k_own")) & (F.col("trade").isNull() | F.col("trade").eqNullSafe(F.col("k_trade")))
-    )
-    odds = F.coalesce(F.col("legal") != F.col("k_legal"), F.lit(False)).cast("int") + (~_agree(F.col("leading"), F.col("k_leading"))).cast("int")
-    placed = met.withColumn("odds", odds).groupBy("name", "known_name", "n_own", "odds", "place", "k_place").agg(F.min("edits").alias("edits"))
-    # any order of the words: each place on either side has a partner
-    return (
-        placed.groupBy("name", "known_name", "n_own", "odds")
-        .agg(F.sum("edits").alias("edits"), F.countDistinct("place").alias("a"), F.countDistinct("k_place").alias("b"), F.count("*").alias("c"))
-        .filter("a = n_own and b = n_own and c <= n_own * n_own").select("name", "known_name", "edits", "odds")
-    )
+    forms = known.select(F.explode("own").alias("f")).select(F.explode("f").alias("form"), F.col("f")[0].alias("known")).distinct()
+    s_words = _words(spelled)
+    near = near_words(s_words, forms.select(F.col("form").alias("word"))).withColumnRenamed("known", "form").join(forms, "form")
+    near = near.groupBy("word", "known").agg(F.min("edits").alias("edits"))
+    placed = s_words.join(near, "word").groupBy("name", "place", "known").agg(F.min("edits").alias("edits"))
+    choices = placed.groupBy("name").agg(F.collect_list(F.struct("place", "known", "edits")).alias("choices"))
+    keys = choices.join(spelled.select("name", "n_own"), "name").mapInPandas(_key_choices, "name string, words string, edits int")
+    own = spelled.select("name", F.col("words").alias("s_words"), *[F.col(c).alias(f"s_{c}") for c in PROFILE[1:]])
+    known = known.select(*PROFILE).distinct()
+    met = keys.join(own, "name").join(known, "words").filter(F.col("s_trade").isNull() | F.col("s_trade").eqNullSafe(F.col("trade")))
+    odd_legal = F.coalesce(F.col("s_legal") != F.col("legal"), F.lit(False)).cast("int")
+    odds = odd_legal + (~_agree(F.col("s_leading"), F.col("leading"))).cast("int")
+    same = (F.col("s_words") == F.col("words")) & F.col("s_trade").eqNullSafe(F.col("trade"))
+    same = same & F.col("s_leading").eqNullSafe(F.col("leading")) & F.col("s_legal").eqNullSafe(F.col("legal"))
+    return met.select("name", *PROFILE, "edits", odds.alias("odds"), same.alias("own_profile"))
 
 
 def organisations(ids: DataFrame, links: DataFrame) -> DataFrame:
@@ -279,25 +304,29 @@ def link_names(spellings: DataFrame, master: DataFrame) -> DataFrame:
     master = master.select(F.trim("supplier_id").alias("id"), trimmed(F.col("supplier_name")).alias("name")).distinct()
     master = staged(master.filter("id is not null and name <> ''"), "master")
     texts = spellings.select(trimmed(F.col("spelling")).alias("name")).filter("name <> ''")
-    parsed = staged(parsed_names(texts.unionByName(master.select("name"))), "parsed")
-    known = parsed.join(master.select("name").distinct(), "name", "left_semi")
-    matches = staged(match_names(parsed, known), "matches")
-
-    trade = known.select("name", F.col("trade").alias("t"))
-    close = matches.filter("odds = 0 and edits <= 1").join(trade, "name").join(
-        trade.withColumnsRenamed({"name": "known_name", "t": "known_t"}), "known_name").filter("known_t is not null")
+    parsed = staged(profiles(parsed_names(texts.unionByName(master.select("name")))), "parsed")
+    known = staged(parsed.join(master, "name"), "known")
+    matches = staged(match_profiles(parsed, known), "matches")
+
+    # each profile's ids hang on its smallest; profiles hang together by their smallest ids
+    hub = known.groupBy(*PROFILE).agg(F.min("id").alias("hub"))
+    same = [F.col(f"k.{c}").eqNullSafe(F.col(f"h.{c}")) for c in PROFILE]
+    of_hub = known.alias("k").join(hub.alias("h"), same).select(F.col("k.name").alias("name"), F.col("k.id").alias("id"), "h.hub").distinct()
+    close = matches.filter("odds = 0 and edits <= 1 and trade is not null").alias("k").join(hub.alias("h"), same).select("k.name", "k.trade", F.col("h.hub").alias("other"))
+    close = close.join(known.select("name", F.col("trade").alias("own_trade")).distinct(), "name")
     # a known name without a trade is kin to names of one trade only
-    only = close.filter("t is null").groupBy("name").agg(F.min("known_t").alias("lo"), F.max("known_t").alias("hi")).filter("lo = hi")
-    kin = close.filter("t is not null").select("name", "known_name").unionByName(
-        close.filter("t is null").join(only, "name", "left_semi").select("name", "known_name"))
-    a, b = master.withColumnsRenamed({"id": "a"}), master.withColumnsRenamed({"id": "b", "name": "known_name"})
-    links = kin.join(a, "name").join(b, "known_name").filter("a <> b").select("a", "b")
+    only = close.filter("own_trade is null").groupBy("name").agg(F.min("trade").alias("lo"), F.max("trade").alias("hi")).filter("lo = hi")
+    kin = close.filter("own_trade is not null").select("name", "other").unionByName(
+        close.filter("own_trade is null").join(only, "name", "left_semi").select("name", "other"))
+    kin = kin.join(of_hub.select("name", "hub").distinct(), "name").select(F.col("hub").alias("a"), F.col("other").alias("b"))
+    links = of_hub.select(F.col("id").alias("a"), F.col("hub").alias("b")).unionByName(kin).filter("a <> b").distinct()
     links = staged(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     orgs = organisations(master, links)
 
-    named = master.join(orgs, "id").select(F.col("name").alias("known_name"), "org").distinct()
-    meant = matches.join(named, "known_name").withColumn("rank", F.struct(F.col("name") != F.col("known_name"), "edits", "odds"))
-    best = meant.withColumn("best", F.min("rank").over(Window.partitionBy("name"))).filter("rank = best")
-    return best.groupBy("name").agg(F.min("org").alias("lo"), F.max("org").alias("hi")).filter("lo = hi").select(
+    named = hub.join(orgs, hub.hub == orgs.id).select(*PROFILE, "org")
+    rank = F.struct(~F.col("own_profile"), "edits", "odds")
+    meant = matches.withColumn("rank", rank).alias("k").join(named.alias("h"), same).select("k.name", "k.rank", "h.org")
+    best = meant.groupBy("name").agg(F.min("rank").alias("rank"))
+    return meant.join(best, ["name", "rank"]).groupBy("name").agg(F.min("org").alias("lo"), F.max("org").alias("hi")).filter("lo = hi").select(
         F.col("name").alias("spelling"), F.col("lo").alias("supplier_id")
     )
