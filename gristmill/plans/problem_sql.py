@@ -207,3 +207,33 @@ select distinct src_table, row_key, field_name, cast(round(a1 * f1 + case when g
 from valued where a1 * f1 + case when g.n2 <> '' then a2 * f2 else 0 end is not null
 """,
 }
+
+
+def _typed(file: str, ok: str, columns: dict[str, str], part: str = "s") -> str:
+    """The valid records of a file, each column by its own expression over the trimmed value ``{v}``."""
+    cols = []
+    for k, (name, form) in enumerate(columns.items(), 1):
+        v = _v(k).replace("s.v", f"{part}.v")
+        cols.append(form.replace("{v}", f"nullif({v}, '')") + f" as {name}")
+    return f"with split as ({_SPLIT}) select record_id, {', '.join(cols)} from split where source_file = '{file}' and {part}.v1 <> '' and {ok}"
+
+
+_AS_COUNT = "cast(replace({v}, ',', '') as bigint)"
+_AS_AMOUNT = "cast(regexp_replace({v}, '[^0-9.]', '', 'g') as decimal(18, 2))"
+_AS_DATE = "cast(coalesce(try_strptime({v}, '%Y-%m-%d'), try_strptime({v}, '%m/%d/%Y')) as date)"
+
+SQL["p1_purchase_orders"] = _typed("erp/purchase_orders.csv", _ORDER_OK, {
+    "po": "{v}", "supplier": "{v}", "part": "{v}", "qty": _AS_COUNT, "unit_price": _AS_AMOUNT, "moq": _AS_COUNT, "lead_time": "{v}", "po_date": _AS_DATE})
+SQL["p1_suppliers"] = _typed("erp/suppliers_master.csv", _SUPPLIER_OK, dict.fromkeys(
+    ("supplier_id", "name", "country", "products", "lead_time", "contact_email"), "{v}"), "s6")
+SQL["p1_work_orders"] = _typed("maintenance/cmms_export.csv", _WORK_OK, {
+    "wo": "{v}", "asset": "{v}", "machine": "{v}", "wo_date": _AS_DATE, "downtime": "{v}", "mtbf_hours": _AS_COUNT, "technician": "{v}", "notes": "{v}"})
+_P2 = SQL["p2_found"]
+SQL["p2_verdicts"] = (
+    _P2[: _P2.index("select reading_id, metric from marked where wrong")]
+    + """select metric, verdict, count(*) as n_values from (
+  select distinct reading_id, metric, case when wrong then 'impossible' else 'stuck' end as verdict from marked where wrong or stuck
+  union select reading_id, metric, 'spike' from scattered"""
+    + _P2[_P2.rindex("\nwhere n_before") :]
+    + ") group by metric, verdict"
+)

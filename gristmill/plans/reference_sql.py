@@ -128,6 +128,12 @@ b as (select doc_id, regexp_replace(regexp_replace(regexp_replace(t, '(?i)<li\b[
 c as (select doc_id, replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') as t from b),
 e as (select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') as t from c)
 select doc_id, md5(t) as plain_md5, cast(length(t) as int) as n_plain from e""",
+    "mail_parts": r"""
+with d as (select doc_id, text, case when contains(text, chr(10) || chr(10)) then substr(text, instr(text, chr(10) || chr(10)) + 2) else '' end as body from documents where text like 'Subject:%'),
+l as (select doc_id, string_split(body, chr(10)) as l from d),
+k as (select doc_id, list_filter(case when list_position(list_transform(l, lambda x: rtrim(x, ' ') = '--'), true) > 0 then l[1:list_position(list_transform(l, lambda x: rtrim(x, ' ') = '--'), true) - 1] else l end,
+  lambda x: not x like '>%') as l from l)
+select doc_id, regexp_extract(text, '^Subject: *([^\n]*)', 1) as subject, md5(trim(regexp_replace(array_to_string(l, chr(10)), '\n+$', ''), ' ')) as body_md5 from d join k using (doc_id)""",
     "slug_ids": """
 with b as (select p_partkey, 'ING-' || substr(upper(regexp_replace(regexp_replace(p_name, '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')), 1, 48) as base from part),
 n as (select *, row_number() over (partition by base order by p_partkey) as n from b)
@@ -242,3 +248,26 @@ with v as (select part_id, trim(material) as m, count(*) as n from (select disti
 select part_id, arg_min(m, (-n, m)) as winner, cast(sum(n) as bigint) as n_votes, count(*) = 1 as unanimous from v group by part_id""",
     "product_catalog": f"with {_ITEMS} select item, count(distinct row_key) as n_suppliers from items where src_table = 'suppliers_master' group by item",
 }
+
+_CHUNKS = r"""
+with recursive raw as (select doc_id, unnest(string_split(text, chr(10) || chr(10))) as t, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) as k from documents),
+trimmed as (select doc_id, k, regexp_replace(t, '^[\s\x{0085}\x{00a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+|[\s\x{0085}\x{00a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$', '', 'g') as t from raw),
+p as (select doc_id, row_number() over (partition by doc_id order by k) as i, t, length(t) as n from trimmed where t <> ''),
+walk as (
+  select doc_id, i, 1 as g, case when n > 1200 then 0 else n end as used, n > 1200 as big from p where i = 1
+  union all
+  select p.doc_id, p.i, case when n > 1200 or w.big or used + 2 + n > 1200 then g + 1 else g end,
+    case when n > 1200 then 0 when w.big or used + 2 + n > 1200 then n else used + 2 + n end, n > 1200
+  from walk w join p on p.doc_id = w.doc_id and p.i = w.i + 1
+),
+grouped as (select doc_id, g, any_value(big) as big, string_agg(t, chr(10) || chr(10) order by i) as t from walk join p using (doc_id, i) group by doc_id, g),
+pieces as (
+  select doc_id, g, 0 as start, t as chunk from grouped where not big
+  union all select doc_id, g, start, substr(t, start + 1, 1200) from (select doc_id, g, t, unnest(range(0, greatest(1, length(t) - 150), 1050)) as start from grouped where big)
+)
+"""
+SQL["chunk_documents"] = f"""{_CHUNKS}
+select doc_id, cast(row_number() over (partition by doc_id order by g, start) as int) as ordinal, cast(length(chunk) as int) as n_chars, md5(chunk) as chunk_md5 from pieces"""
+SQL["chunk_rollup"] = f"""{_CHUNKS}
+select doc_type, count(*) as n_chunks, count(*) filter (length(chunk) > 1000) as n_long, count(distinct doc_id) as n_documents
+from pieces join documents using (doc_id) group by doc_type"""
