@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from gristmill.functions import normalize as N, text as X
 from gristmill.functions.keys import clean_key, month_of
 from gristmill.operators import documents as D, graph as G, multivalue, records as R, search as S
-from gristmill.scratch import spread, table
+from gristmill.scratch import scratch_dir, spread, table
+from gristmill.streaming.tables import latest, upsert_stream
 
 K = 10
 CLASSES = [
@@ -406,6 +409,124 @@ def product_catalog(spark, sf_dir):
     return multivalue.split_values(s, "products", ["supplier_id"]).groupBy("item").agg(F.countDistinct("supplier_id").alias("n_suppliers"))
 
 
+def format_detect(spark, sf_dir):
+    """Declared formats of manifest files against those of their names."""
+    m = table(spark, sf_dir, "ingestion_manifest").select("source_file", "file_format").distinct()
+    seen = X.format_of(F.col("source_file"), F.lit(b""))
+    return m.groupBy("file_format", seen.alias("seen_format")).agg(F.count("*").alias("n_files"))
+
+
+def _plant_graph(spark, sf_dir):
+    """Parts used on machines, machines on lines and in programs."""
+    bom = table(spark, sf_dir, "bom_parts").select("part_id", "used_on").distinct()
+    used = multivalue.split_values(bom, "used_on", ["part_id"], multivalue.ListGrammar(multivalue.KEY_SEPARATOR))
+    used = used.select(clean_key(F.col("part_id")).alias("src"), F.lit("USED_ON").alias("rel"), clean_key(F.col("item")).alias("dst")).filter(F.col("dst").rlike("^MCH-[0-9]+$"))
+    m = table(spark, sf_dir, "machines").select(clean_key(F.col("machine_id")).alias("src"), "line", "program").distinct()
+    line = m.filter("line is not null").select("src", F.lit("ON_LINE").alias("rel"), F.concat(F.lit("LINE:"), F.col("line")).alias("dst"))
+    program = m.filter("program is not null").select("src", F.lit("RUNS_PROGRAM").alias("rel"), F.concat(F.lit("PROGRAM:"), F.col("program")).alias("dst"))
+    return used.unionByName(line).unionByName(program).distinct()
+
+
+def plant_reach(spark, sf_dir):
+    """Machines and parts within two hops of each program."""
+    edges = _plant_graph(spark, sf_dir).filter("rel <> 'ON_LINE'")
+    seeds = edges.filter("rel = 'RUNS_PROGRAM'").select(F.col("dst").alias("seed")).distinct()
+    found = G.reach(edges, seeds, 2).filter("hops > 0")
+    return found.groupBy("seed", X.doc_prefix(F.col("id")).alias("kind"), "hops").agg(F.count("*").alias("n_nodes"))
+
+
+def multi_hop_lookup(spark, sf_dir):
+    """Program to machine to part to the prices paid for it: parts with orders and their mean price, by program."""
+    edges = _plant_graph(spark, sf_dir)
+    used, runs = edges.filter("rel = 'USED_ON'"), edges.filter("rel = 'RUNS_PROGRAM'")
+    parts = used.alias("u").join(runs.alias("r"), F.col("u.dst") == F.col("r.src")).select(F.col("r.dst").alias("program"), F.col("u.src").alias("part")).distinct()
+    po = table(spark, sf_dir, "purchase_orders").distinct().select(clean_key(F.col("part")).alias("part"), N.first_number(F.col("unit_price")).alias("price"))
+    priced = po.filter("price is not null").groupBy("part").agg(F.sum(F.col("price").cast("decimal(20,4)")).alias("sum"), F.count("*").alias("n"))
+    return parts.join(priced, "part").groupBy("program").agg(
+        F.count("*").alias("n_parts"), F.sum("n").alias("n_orders"), F.round(F.sum("sum").cast("double") / F.sum("n"), 4).alias("mean_price")
+    )
+
+
+def ambiguous_aliases(spark, sf_dir):
+    """Codenames that mean more than one machine or line."""
+    m = table(spark, sf_dir, "machines").distinct()
+    machine = m.select(F.lower(F.trim("codename")).alias("alias"), clean_key(F.col("machine_id")).alias("id"))
+    line = m.select(F.lower(F.trim("line_codename")).alias("alias"), F.col("line").alias("id"))
+    both = machine.unionByName(line).filter("alias <> '' and id is not null").distinct()
+    return both.groupBy("alias").agg(F.count("*").alias("n_ids"), F.min("id").alias("first_id")).filter("n_ids > 1")
+
+
+def record_references(spark, sf_dir):
+    """Rows of the orders that name each supplier by its id, in any column."""
+    ids = table(spark, sf_dir, "suppliers_master").select(F.trim("supplier_id").alias("ref")).distinct()
+    found = R.referencing(table(spark, sf_dir, "purchase_orders").distinct(), ids, ["supplier", "part", "lead_time"])
+    return found.groupBy("ref").agg(F.count("*").alias("n_rows"), F.countDistinct("part").alias("n_parts"))
+
+
+def valid_as_of(spark, sf_dir):
+    """Documents that were there at the end of each quarter of 2024, by type."""
+    docs = table(spark, sf_dir, "documents").select("doc_type", "loaded_at", "deleted_at")
+    ends = F.array(*[F.lit(d).cast("timestamp_ntz") for d in ("2024-04-01", "2024-07-01", "2024-10-01", "2025-01-01")])
+    at = docs.withColumn("as_of", F.explode(ends)).filter("loaded_at < as_of and (deleted_at is null or deleted_at >= as_of)")
+    return at.groupBy("doc_type", "as_of").agg(F.count("*").alias("n_documents"))
+
+
+def cheapest_order(spark, sf_dir):
+    """The cheapest order of each part and the spread of its prices; ties by order number."""
+    po = table(spark, sf_dir, "purchase_orders").distinct().select("po", clean_key(F.col("part")).alias("part"), N.first_number(F.col("unit_price")).alias("price"))
+    po = po.filter(F.col("part").rlike("^PRT-[0-9]+$") & F.col("price").isNotNull())
+    return po.groupBy("part").agg(F.min_by("po", F.struct("price", "po")).alias("po"), F.min("price").alias("lowest"), F.max("price").alias("highest"), F.count("*").alias("n_orders"))
+
+
+def conflict_resolution(spark, sf_dir):
+    """Parts whose orders state different least quantities, with the latest statement as the one chosen."""
+    po = table(spark, sf_dir, "purchase_orders").distinct().select(clean_key(F.col("part")).alias("part"), N.whole_number(F.col("moq")).alias("moq"), "loaded_at", "po")
+    stated = po.filter("part is not null and moq is not null")
+    chosen = stated.groupBy("part").agg(F.max_by("moq", F.struct("loaded_at", "po", "moq")).alias("chosen"))
+    return R.conflicts(stated, ["part"], "moq").join(chosen, "part")
+
+
+def question_decision(spark, sf_dir):
+    """What can be said before searching: nothing to hold on to, an identifier nobody recorded, or answerable; against the label."""
+    q = table(spark, sf_dir, "questions").distinct().select("qid", "answerable", F.col("question").alias("text"))
+    known = table(spark, sf_dir, "documents").select(clean_key(F.col("doc_code")).alias("code"))
+    for name, key in (("bom_parts", "part_id"), ("machines", "machine_id"), ("suppliers_master", "supplier_id")):
+        known = known.unionByName(table(spark, sf_dir, name).select(clean_key(F.col(key)).alias("code")))
+    codes = q.select("qid", "text", F.explode(X.identifiers(F.col("text"))).alias("code")).distinct()
+    lost = codes.join(known.distinct(), "code", "left_anti").select("qid", "text").distinct().withColumn("lost", F.lit(True))
+    state = F.when(F.col("lost"), "absent").when((F.size(X.identifiers(F.col("text"))) == 0) & (F.size(X.content_terms(F.col("text"))) == 0), "clarify").otherwise("answerable")
+    done = q.join(lost, ["qid", "text"], "left")
+    return done.groupBy(state.alias("decision"), F.col("answerable").alias("labelled")).agg(F.count("*").alias("n_questions"))
+
+
+LABELS = [
+    ("aggregation", r"(?i)\b(how many|total|count|sum|average)\b"), ("comparison", r"(?i)\b(higher|lower|compare|than|most|least)\b"),
+    ("conversion", r"(?i)\b(convert|in inches|in mm)\b"), ("temporal", r"(?i)\b(when|still|latest|current|since|version)\b"), ("lookup", r"[A-Z]{2,4}-\d{2,}"),
+]
+
+
+def question_labels(spark, sf_dir):
+    """Kinds of question by pattern; one may have several, one without any is semantic."""
+    q = table(spark, sf_dir, "questions").distinct()
+    found = F.array_compact(F.array(*[F.when(F.col("question").rlike(p), name) for name, p in LABELS]))
+    labels = F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("semantic")))
+    return q.filter("question is not null").select(F.explode(labels).alias("label"), "category").groupBy("label", "category").agg(F.count("*").alias("n_questions"))
+
+
+def event_windows(spark, sf_dir):
+    e = table(spark, sf_dir, "events").groupBy(F.window("ts", "1 day").alias("w"), "event_type")
+    return e.agg(F.count("*").alias("n_events"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n_events", "total")
+
+
+def streaming_upsert(spark, sf_dir):
+    """The events as a stream, appended batch by batch; the latest event of each user."""
+    batch = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(batch.schema).parquet(f"{sf_dir}/events.parquet*")
+    home = f"{scratch_dir(spark)}/events-{uuid.uuid4().hex}"
+    upsert_stream(stream, f"{home}/table", f"{home}/checkpoint").awaitTermination()
+    return latest(spark, f"{home}/table", ["user_id"], "event_id").select("user_id", "event_id", "event_type", "value")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -415,5 +536,7 @@ QUERIES = {
         line_totals, calc_ops, unit_convert, duration_parse, date_norm, lead_time_days, oee_rollup, telemetry_mean, json_props,
         supplier_collapse, version_current, survivorship, conflict_flags, claim_verify, graph_bfs, graph_path, dangling_edges,
         edge_from_rows, set_diff, duplicate_ids, grouping_report, dedup_text, grounded_ratio, majority_vote, product_catalog,
+        format_detect, plant_reach, multi_hop_lookup, ambiguous_aliases, record_references, valid_as_of, cheapest_order, conflict_resolution,
+        question_decision, question_labels, event_windows, streaming_upsert,
     )
 }

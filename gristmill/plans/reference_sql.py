@@ -2,7 +2,7 @@
 
 from gristmill.functions.text import STOPWORDS
 from gristmill.plans.problem_sql import _CLEAN, _ITEMS
-from gristmill.plans.reference import CLASSES
+from gristmill.plans.reference import CLASSES, LABELS
 
 _QUESTIONS = """
 questions_asked as (
@@ -271,3 +271,53 @@ select doc_id, cast(row_number() over (partition by doc_id order by g, start) as
 SQL["chunk_rollup"] = f"""{_CHUNKS}
 select doc_type, count(*) as n_chunks, count(*) filter (length(chunk) > 1000) as n_long, count(distinct doc_id) as n_documents
 from pieces join documents using (doc_id) group by doc_type"""
+
+_PLANT = f"""
+with {_ITEMS},
+used as (select distinct {_CLEAN.format('row_key')} as part, {_CLEAN.format('item')} as machine from items where src_table = 'bom_parts' and regexp_full_match({_CLEAN.format('item')}, 'MCH-[0-9]+')),
+runs as (select distinct {_CLEAN.format('machine_id')} as machine, program from machines where program is not null)
+"""
+_PRICE = r"try_cast(regexp_extract(replace(unit_price, ',', ''), '\d+(?:\.\d+)?') as double)"
+_CONTENT = f"list_filter({_TOKENS.format(r"regexp_replace(question, '[A-Z]{2,4}-[0-9]{2,9}', ' ', 'g')")}, lambda t: length(t) >= 4 and not regexp_full_match(t, '[0-9-]+') and t not in ({_STOP}))"
+
+SQL |= {
+    "format_detect": """
+with m as (select distinct source_file, file_format, lower(regexp_extract(source_file, '\\.([A-Za-z0-9]+)$', 1)) as e from ingestion_manifest)
+select file_format, case when e in ('csv', 'json', 'jsonl', 'html', 'eml', 'xlsx', 'docx', 'pdf', 'md') then e when e = 'htm' then 'html' else 'txt' end as seen_format, count(*) as n_files from m group by all""",
+    "plant_reach": f"""{_PLANT}
+select 'PROGRAM:' || program as seed, 'MCH' as kind, 1 as hops, count(distinct machine) as n_nodes from runs group by program
+union all select 'PROGRAM:' || program, 'PRT', 2, count(distinct part) from runs join used using (machine) group by program
+union all select seed, 'PROGRAM:' || other, 2, count(*) from (select distinct 'PROGRAM:' || a.program as seed, b.program as other from runs a join runs b using (machine) where a.program <> b.program) group by all""",
+    "multi_hop_lookup": f"""{_PLANT},
+parts as (select distinct program, part from runs join used using (machine)),
+priced as (select {_CLEAN.format('part')} as part, sum({_PRICE}::decimal(20, 4)) as s, count(*) as n from (select distinct * from purchase_orders) where {_PRICE} is not null group by 1)
+select 'PROGRAM:' || program as program, count(*) as n_parts, cast(sum(n) as bigint) as n_orders, round(sum(s)::double / sum(n), 4) as mean_price from parts join priced using (part) group by program""",
+    "ambiguous_aliases": f"""
+with m as (select distinct * from machines), a as (select lower(trim(codename)) as alias, {_CLEAN.format('machine_id')} as id from m union select lower(trim(line_codename)), line from m)
+select alias, count(*) as n_ids, min(id) as first_id from a where alias <> '' and id is not null group by alias having count(*) > 1""",
+    "record_references": """
+with ids as (select distinct trim(supplier_id) as ref from suppliers_master), po as (select distinct * from purchase_orders)
+select ref, count(*) as n_rows, count(distinct part) as n_parts from ids join po on upper(trim(supplier)) = ref or upper(trim(part)) = ref or upper(trim(lead_time)) = ref group by ref""",
+    "valid_as_of": """
+with e as (select unnest([timestamp '2024-04-01', timestamp '2024-07-01', timestamp '2024-10-01', timestamp '2025-01-01']) as as_of)
+select doc_type, as_of, count(*) as n_documents from documents join e on loaded_at < as_of and (deleted_at is null or deleted_at >= as_of) group by all""",
+    "cheapest_order": f"""
+with p as (select po, {_CLEAN.format('part')} as part, {_PRICE} as price from (select distinct * from purchase_orders))
+select part, arg_min(po, (price, po)) as po, min(price) as lowest, max(price) as highest, count(*) as n_orders from p where regexp_full_match(part, 'PRT-[0-9]+') and price is not null group by part""",
+    "conflict_resolution": rf"""
+with s as (select {_CLEAN.format('part')} as part, try_cast(regexp_extract(replace(moq, ',', ''), '^\s*(\d+)\s*$', 1) as bigint) as moq, loaded_at, po from (select distinct * from purchase_orders))
+select part, count(distinct moq) as n_values, min(moq) as lowest, max(moq) as highest, arg_max(moq, (loaded_at, po, moq)) as chosen from s
+where part is not null and moq is not null group by part having count(distinct moq) > 1""",
+    "question_decision": f"""
+with q as (select distinct * from questions),
+known as (select {_CLEAN.format('doc_code')} as code from documents union select {_CLEAN.format('part_id')} from bom_parts union select {_CLEAN.format('machine_id')} from machines
+  union select {_CLEAN.format('supplier_id')} from suppliers_master)
+select case when exists (select 1 from (select unnest({_CODES.format('question')}) as c) where c not in (select code from known)) then 'absent'
+  when coalesce(len({_CODES.format('question')}), -1) = 0 and len({_CONTENT}) = 0 then 'clarify' else 'answerable' end as decision, answerable as labelled, count(*) as n_questions from q group by all""",
+    "question_labels": f"""
+with q as (select distinct * from questions where question is not null),
+l as (select category, list_filter([{', '.join(f"case when regexp_matches(question, '{p}') then '{name}' end" for name, p in LABELS)}], lambda x: x is not null) as l from q)
+select label, category, count(*) as n_questions from (select category, unnest(case when len(l) > 0 then l else ['semantic'] end) as label from l) group by all""",
+    "event_windows": "select date_trunc('day', ts)::timestamp as day, event_type, count(*) as n_events, round(sum(value), 4) as total from events group by all",
+    "streaming_upsert": "select user_id, event_id, event_type, value from events qualify row_number() over (partition by user_id order by event_id desc) = 1",
+}
