@@ -8,7 +8,8 @@ candidate is then checked against the sound values of the days on either side.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -45,6 +46,16 @@ def zero_detail_runs(x: np.ndarray, least: int) -> np.ndarray:
     return np.repeat(np.diff(edges) >= least, np.diff(edges))
 
 
+def _off_both_sides(s: np.ndarray, reach: int, bound: float) -> np.ndarray:
+    """Values beyond ``bound`` from the medians of the ``reach`` values before and after them; true near the ends."""
+    off = np.ones(len(s), dtype=bool)
+    if len(s) > 2 * reach:
+        sides = np.median(np.lib.stride_tricks.sliding_window_view(s, reach), axis=1)  # median of s[k : k + reach]
+        inner = np.arange(reach, len(s) - reach)
+        off[inner] = (np.abs(s[inner] - sides[inner - reach]) > bound) & (np.abs(s[inner] - sides[inner + 1]) > bound)
+    return off
+
+
 def judge(x: np.ndarray, full: float, reach: int, times: float, run: int) -> np.ndarray:
     """Verdict of each value of one series in date order: '', impossible, stuck or spike."""
     verdict = np.full(len(x), "", dtype=object)
@@ -57,7 +68,7 @@ def judge(x: np.ndarray, full: float, reach: int, times: float, run: int) -> np.
         windows = np.median(np.lib.stride_tricks.sliding_window_view(s, width), axis=1)
         level = windows[np.clip(np.arange(len(s)) - width // 2, 0, len(windows) - 1)]
         scatter = ROBUST * np.median(np.abs(s - level))
-        for k in np.flatnonzero(haar_candidates(s)):
+        for k in np.flatnonzero(haar_candidates(s) & _off_both_sides(s, reach, times * scatter)):
             left, right = s[max(0, k - reach) : k], s[k + 1 : k + 1 + reach]
             around = [np.median(part) for part in (left, right, np.concatenate([left, right])) if len(part) >= 3]
             if around and min(abs(s[k] - m) for m in around) > times * scatter:
@@ -93,11 +104,7 @@ def flag_readings(df: DataFrame, source: str, day: str, row_id: str, metrics: Se
         .drop("day")
     )
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["number", "rid"], kind="stable")
-        rid, own = pdf["rid"].to_numpy(), pdf["own"].to_numpy(bool)
-        number = pdf["number"].to_numpy("float64")
-        values = [pdf[f"m{k}"].to_numpy("float64") for k in range(len(metrics))]
+    def one(rid, own, number, values) -> list[tuple]:
         filled = np.concatenate([v[~np.isnan(v)] for v in values])
         full = 100.0 if len(filled) and np.median(filled) > 1.5 else 1.0
         out: list[tuple] = []
@@ -109,10 +116,32 @@ def flag_readings(df: DataFrame, source: str, day: str, row_id: str, metrics: Se
             undated = at[np.isnan(number[at])]
             verdict[undated[~((v[undated] >= 0) & (v[undated] <= full))]] = "impossible"
             out += [(rid[k], name, verdict[k]) for k in np.flatnonzero((verdict != "") & own)]
-        return pd.DataFrame(out, columns=["rid", "metric", "verdict"])
+        return out
+
+    def all_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The groups of a sorted partition, one after another; only the last of a batch is carried over."""
+        held = None
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if held is None or not len(held):
+                continue
+            group = held["g"].to_numpy()
+            edges = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(held)]
+            if batch is not None:
+                edges.pop()  # the last group may go on
+            number, values = held["number"].to_numpy("float64"), [held[f"m{k}"].to_numpy("float64") for k in range(len(metrics))]
+            rid, own = held["rid"].to_numpy(), held["own"].to_numpy(bool)
+            out: list[tuple] = []
+            for x, y in zip(edges, edges[1:]):
+                out += one(rid[x:y], own[x:y], number[x:y], [v[x:y] for v in values])
+            held = held.iloc[edges[-1] :]
+            yield pd.DataFrame(out, columns=["rid", "metric", "verdict"])
 
     id_type = df.schema[row_id].dataType.simpleString()
     # a fixed number of tasks: the work per row is what counts, not the bytes by which small tasks are merged
-    rows = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src", "block")
-    flagged = rows.groupBy("src", "block").applyInPandas(one, f"rid {id_type}, metric string, verdict string")
-    return flagged.withColumnRenamed("rid", row_id)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    group = F.concat_ws("/", F.lit("s"), F.col("src").cast("string"), F.coalesce("block", F.lit(0)).cast("string"))
+    rows = rows.withColumn("g", F.when(F.col("src").isNull(), F.concat(F.lit("n/"), F.coalesce("block", F.lit(0)).cast("string"))).otherwise(group))
+    ordered = rows.drop("src", "block").repartition(n, "g").sortWithinPartitions("g", "number", "rid")
+    return ordered.mapInPandas(all_of, f"rid {id_type}, metric string, verdict string").withColumnRenamed("rid", row_id)
