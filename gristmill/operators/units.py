@@ -38,7 +38,7 @@ DESCRIBED = (
 
 _NUMBER = r"(?:\d+(?:\s+|-)\d+/\d+|\d+/\d+|\d[\d,]*(?:\.\d+)?|\.\d+)"
 _UNIT = r"(?:[\p{L}]+\.?(?:\(\p{L}+\))?|''|[\"'″′])"
-_TERM = rf"({_NUMBER})\s*({_UNIT})?"
+_TERM = rf"{_NUMBER}\s*(?:{_UNIT})?"
 FUZZY_FROM = 4  # shorter spellings must be known as they are
 
 
@@ -125,9 +125,9 @@ def _number(c: Column) -> Column:
 
 
 def _words_to_digits(c: Column) -> Column:
-    for k, word in enumerate(WORDS, 1):
-        c = F.regexp_replace(c, rf"^{word}\b", str(k))
-    return c
+    word = F.regexp_extract(c, rf"^({'|'.join(WORDS)})\b", 1)
+    digits = F.create_map(*[F.lit(x) for k, w in enumerate(WORDS, 1) for x in (w, str(k))])
+    return F.when(word == "", c).otherwise(F.concat(F.try_element_at(digits, word), F.substring(c, F.length(word) + 1, F.length(c))))
 
 
 def terms_of(texts: DataFrame) -> DataFrame:
@@ -136,21 +136,17 @@ def terms_of(texts: DataFrame) -> DataFrame:
     A text counts only if it is, after a label or sign, nothing but terms. ``+a/-b`` counts as ``a``.
     A lone number takes the unit that ``described`` names, else mm or days.
     """
-    body = F.lower(F.trim(F.col("text")))
-    body = F.regexp_replace(body, rf"^{LABELS}(?=[\d.±+]|{'|'.join(WORDS)})", "")
+    body = F.regexp_replace(F.lower(F.trim("text")), rf"^{LABELS}(?=[\d.±+]|{'|'.join(WORDS)})", "")
     body = F.regexp_replace(body, r"^\+\s*([^/+-][^/]*(?:\d/\d+[^/]*)?)/\s*-.*$", "$1")
-    body = _words_to_digits(F.regexp_replace(body, r"^(?:±|\+/-|\+-|\+)\s*", ""))
-    matched = texts.withColumn("_body", F.trim(body)).filter(
-        F.col("_body").rlike(rf"^(?:{_NUMBER})\s*(?:{_UNIT})?(?:\s*[-,]?\s*(?:{_NUMBER})\s*(?:{_UNIT}))*$")
-    )
-    numbers = F.regexp_extract_all("_body", F.lit(_TERM), F.lit(1))
-    spelled = F.regexp_extract_all("_body", F.lit(_TERM), F.lit(2))
+    body = F.trim(_words_to_digits(F.regexp_replace(body, r"^(?:±|\+/-|\+-|\+)\s*", "")))
+    whole = rf"^(?:{_NUMBER})\s*(?:{_UNIT})?(?:\s*[-,]?\s*(?:{_NUMBER})\s*(?:{_UNIT}))*$"
+    terms = F.when(body.rlike(whole), F.regexp_extract_all(body, F.lit(_TERM), F.lit(0)))
+    # an outer explode keeps the terms from being worked out twice, once more to filter what has none
+    each = texts.withColumn("_terms", terms).select(*texts.columns, F.posexplode_outer("_terms").alias("n", "_term")).filter("_term is not null")
     fallback = F.coalesce("described", F.when(F.col("kind") == "time", "d").otherwise("mm"))
-    return (
-        matched.select(*texts.columns, F.posexplode(F.arrays_zip(numbers.alias("a"), spelled.alias("b"))).alias("n", "t"))
-        .select(*texts.columns, "n", _number(F.col("t.a")).alias("number"),
-                unit_spelling(F.when(F.col("t.b") == "", fallback).otherwise(F.col("t.b"))).alias("spelling"))
-    )
+    unit = F.trim(F.regexp_replace("_term", rf"^{_NUMBER}\s*", ""))
+    return each.select(*texts.columns, "n", _number(F.regexp_extract("_term", _NUMBER, 0)).alias("number"),
+                       unit_spelling(F.when(unit == "", fallback).otherwise(unit)).alias("spelling"))
 
 
 def convert(texts: DataFrame, keys: list[str]) -> DataFrame:
