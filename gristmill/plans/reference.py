@@ -36,14 +36,24 @@ def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.bm25(_queries(spark, sf_dir), _documents(spark, sf_dir), X.tokens(F.col("text")))
 
 
+def _title_queries(spark, sf_dir):
+    """Titles of the documents whose number is divisible by 100."""
+    d = table(spark, sf_dir, "documents").filter(F.col("doc_id") % 100 == 0)
+    return d.select(F.col("doc_id").alias("query_id"), F.col("title").alias("text"))
+
+
 def bm25_topk(spark, sf_dir):
+    return S.top_k(S.bm25(_title_queries(spark, sf_dir), _documents(spark, sf_dir), X.tokens(F.col("text"))), K)
+
+
+def _answers(spark, sf_dir):
     return S.top_k(_bm25(spark, sf_dir), K)
 
 
 def bm25_title_weighted(spark, sf_dir):
     title = X.tokens(F.coalesce("title", F.lit("")))
     words = F.concat(title, title, title, X.tokens(F.coalesce("text", F.lit(""))))
-    return S.top_k(S.bm25(_queries(spark, sf_dir), _documents(spark, sf_dir), words), K)
+    return S.top_k(S.bm25(_title_queries(spark, sf_dir), _documents(spark, sf_dir), words), K)
 
 
 def token_df_idf(spark, sf_dir):
@@ -62,11 +72,6 @@ def vector_topk(spark, sf_dir):
     return S.vector_top_k(_vector_queries(spark, sf_dir), table(spark, sf_dir, "embeddings"), K)
 
 
-def _title_queries(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter(F.col("doc_id") % 100 == 0)
-    return d.select(F.col("doc_id").alias("query_id"), F.col("title").alias("text"))
-
-
 def hybrid_rrf(spark, sf_dir):
     """Titles searched by words and vectors at depth 30; both ranks fused, best 10 kept."""
     titles = _title_queries(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id")), "query_id", "left_semi")
@@ -94,15 +99,16 @@ def weighted_rrf_lanes(spark, sf_dir):
 
 
 def lexical_rerank(spark, sf_dir):
-    found = S.top_k(_bm25(spark, sf_dir), 2 * K).select("query_id", "doc_id")
-    asked = _queries(spark, sf_dir).withColumnRenamed("text", "question")
+    asked = _title_queries(spark, sf_dir)
+    found = S.top_k(S.bm25(asked, _documents(spark, sf_dir), X.tokens(F.col("text"))), 2 * K).select("query_id", "doc_id")
+    asked = asked.withColumnRenamed("text", "question")
     scored = found.join(asked, "query_id").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return S.top_k(scored.select("query_id", "doc_id", S.overlap(F.col("question"), F.col("text")).alias("score")), K)
 
 
 def coverage_fraction(spark, sf_dir):
     """Share of each question's content terms in its first five documents, and whether it suffices (0.34)."""
-    found = bm25_topk(spark, sf_dir).filter("rank <= 5").select("query_id", "doc_id")
+    found = _answers(spark, sf_dir).filter("rank <= 5").select("query_id", "doc_id")
     asked = _queries(spark, sf_dir).select("query_id", X.content_terms(F.col("text")).alias("terms"))
     evidence = found.join(asked, "query_id").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return S.coverage(evidence, "terms", "text").withColumn("enough", F.col("covered") >= 0.34)
@@ -115,12 +121,12 @@ def _gold(spark, sf_dir):
 
 
 def retrieval_quality(spark, sf_dir):
-    return S.retrieval_metrics(bm25_topk(spark, sf_dir), _gold(spark, sf_dir))
+    return S.retrieval_metrics(_answers(spark, sf_dir), _gold(spark, sf_dir))
 
 
 def abstention(spark, sf_dir):
     """Of answerable and other questions: how many the best score would answer at a threshold of 20."""
-    best = bm25_topk(spark, sf_dir).filter("rank = 1").select("query_id", "score")
+    best = _answers(spark, sf_dir).filter("rank = 1").select("query_id", "score")
     gold = _gold(spark, sf_dir).select("query_id").distinct().withColumn("g", F.lit(True))
     asked = _queries(spark, sf_dir).select("query_id").join(best, "query_id", "left").join(gold, "query_id", "left")
     return asked.groupBy(F.coalesce("g", F.lit(False)).alias("has_gold")).agg(

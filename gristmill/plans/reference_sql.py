@@ -35,6 +35,7 @@ def _top(name: str, k: int, key: str = "doc_id") -> str:
 
 _TEXT_WORDS = f"coalesce({_TOKENS.format('text')}, [])"
 _BM25 = f"with {_QUESTIONS}, {_bm25('b', 'questions_asked', _TEXT_WORDS)}"
+_TITLES = "titles as (select doc_id as query_id, title as text from documents where doc_id % 100 = 0)"
 _TITLE = _TOKENS.format("coalesce(title, '')")
 _MENTIONS = f"mentions as (select doc_id, code, count(*) as n from (select doc_id, unnest({_CODES.format('text')}) as code from documents) group by all)"
 _GOLD = f"""{_MENTIONS},
@@ -57,8 +58,8 @@ links as (select src, dst from edges union select dst, src from edges)
 """
 
 SQL = {
-    "bm25_topk": f"{_BM25} {_top('b_scores', 10)}",
-    "bm25_title_weighted": f"with {_QUESTIONS}, {_bm25('b', 'questions_asked', f'{_TITLE} || {_TITLE} || {_TITLE} || ' + _TEXT_WORDS)} {_top('b_scores', 10)}",
+    "bm25_topk": f"with {_TITLES}, {_bm25('b', 'titles', _TEXT_WORDS)} {_top('b_scores', 10)}",
+    "bm25_title_weighted": f"with {_TITLES}, {_bm25('b', 'titles', f'{_TITLE} || {_TITLE} || {_TITLE} || ' + _TEXT_WORDS)} {_top('b_scores', 10)}",
     "token_df_idf": f"""
 with seen as (select distinct doc_id, unnest({_TOKENS.format('text')}) as term from documents), df as (select term, count(*) as df from seen group by term)
 select term, df, round(ln(1.0::double + ((select count(*) from documents) - df + 0.5::double) / (df + 0.5::double)), 6) as idf from df""",
@@ -84,10 +85,10 @@ fused as (select query_id, doc_id, sum(share) as score, string_agg(distinct lane
 select query_id, doc_id, score, lanes, rank from (select query_id, doc_id, round(score, 6) as score, lanes,
   cast(row_number() over (partition by query_id order by round(score, 6) desc, doc_id) as int) as rank from fused) where rank <= 10""",
     "lexical_rerank": f"""
-{_BM25}, found as ({_top('b_scores', 20)}),
+with {_TITLES}, {_bm25('b', 'titles', _TEXT_WORDS)}, found as ({_top('b_scores', 20)}),
 scored as (
   select f.query_id, f.doc_id, len(list_intersect({_TOKENS.format('q.text')}, {_TOKENS.format('d.text')}))::double / len(list_distinct({_TOKENS.format('q.text')})) as score
-  from found f join questions_asked q using (query_id) join documents d using (doc_id)
+  from found f join titles q using (query_id) join documents d using (doc_id)
 ) {_top('scored', 10)}""",
     "coverage_fraction": rf"""
 {_BM25}, found as ({_top('b_scores', 5)}),
