@@ -15,7 +15,6 @@ and takes the place as ``bare``, with the flag ``malformed_quote``.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd

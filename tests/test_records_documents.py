@@ -1,5 +1,3 @@
-import datetime as dt
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,4 +60,3 @@ def test_classes_and_phrases(spark):
     docs = spark.createDataFrame([(1, "The Bolt & Co. AG wrote."), (2, "bolt co"), (3, None)], "doc_id long, text string")
     names = spark.createDataFrame([("bolt & co. ag", "S1"), ("bolt co", "S2"), ("wrote", "S3")], "alias string, id string")
     assert rows(D.phrases_in(docs, names)) == {(1, "bolt & co. ag", "S1"), (1, "bolt co", "S2"), (1, "wrote", "S3"), (2, "bolt co", "S2")}
-    assert dt.date(2025, 1, 1)

@@ -1,5 +1,4 @@
 import math
-import random
 from collections import Counter
 
 import numpy as np
@@ -98,4 +97,3 @@ def test_reach_and_paths(spark):
 def test_rows_become_edges(spark):
     df = spark.createDataFrame([("PRT-1", "on MCH-3011 and MCH-3012", "PRT-1"), ("PRT-2", None, "")], "part string, `used on` string, other string")
     assert rows(G.edges_of_rows(df, "part", ["used on", "other"])) == {("PRT-1", "USED_ON", "MCH-3011"), ("PRT-1", "USED_ON", "MCH-3012")}
-    assert random.Random(1)

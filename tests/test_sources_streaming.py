@@ -73,7 +73,8 @@ def test_windowed_counts(spark, tmp_path):
 
 def test_orphan_state(spark, tmp_path):
     schema, src = "target string, key string, kind string, ref_id string", str(tmp_path / "in")
-    stream = spark.readStream.schema(schema).parquet(src) if (tmp_path / "in").mkdir() is None else None
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).parquet(src)
     q = O.track(stream).writeStream.format("memory").queryName("changes").outputMode("update").start()
     for batch in ([("p", "A", "ref", "1")], [("p", "A", "parent", None)], [("p", "A", "ref", "2")], [("p", "A", "deleted", None)]):
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
