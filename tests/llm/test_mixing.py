@@ -53,7 +53,5 @@ def test_empty(spark, docs):
 
 
 def test_tokens_are_those_of_the_vocabulary(spark, docs):
-    import tiktoken  # noqa: F401
-
     one = M.with_tokens(spark.createDataFrame([("hello world",), (None,), ("",)], "text string"), "text", RANKS)
     assert [r["n_tokens"] for r in one.collect()] == [2, 0, 0]
