@@ -278,12 +278,17 @@ def lead_time_days(spark, sf_dir):
 
 
 def oee_rollup(spark, sf_dir):
-    """Mean availability, performance and quality per machine as fractions, and the cut OEE."""
+    """Mean availability, performance and quality per machine as fractions, cut to six places, and the cut OEE; impossible values aside.
+
+    The sums are whole millionths, so they do not depend on the order of the rows.
+    """
+    metrics = ("availability", "performance", "quality")
     rows = table(spark, sf_dir, "oee_daily").distinct()
-    as_share = lambda c: F.when(F.col(c) > 1.5, F.col(c) / 100.0).otherwise(F.col(c))
-    good = rows.select("machine", *[as_share(c).alias(c) for c in ("availability", "performance", "quality")])
-    means = good.groupBy("machine").agg(*[F.round(F.avg(c), 6).alias(c) for c in ("availability", "performance", "quality")])
-    return means.withColumn("oee_pct", N.oee(F.col("availability"), F.col("performance"), F.col("quality")))
+    share = lambda c: F.when(F.col(c) > 1.5, F.col(c) / 100.0).otherwise(F.col(c))
+    good = rows.select("machine", *[F.when(share(c).between(0.0, 1.0), F.round(share(c) * 1e6).cast("bigint")).alias(c) for c in metrics])
+    sums = good.groupBy("machine").agg(*[F.sum(c).alias(c) for c in metrics], *[F.count(c).alias(f"n_{c}") for c in metrics])
+    means = sums.select("machine", *[(F.expr(f"{c} div n_{c}") / 1e6).alias(c) for c in metrics])
+    return means.withColumn("oee_pct", N.oee(*map(F.col, metrics)))
 
 
 def telemetry_mean(spark, sf_dir):

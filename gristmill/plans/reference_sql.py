@@ -185,11 +185,11 @@ with t as (select lower(trim(lead_time)) as l from (select distinct * from purch
 select cast(floor(case when regexp_full_match(l, '(approx\. |lt )?\d+(\.\d+)?\s*(weeks?|wks?|w|week\(s\))') then regexp_extract(l, '(\d+(?:\.\d+)?)', 1)::double * 7
   when regexp_full_match(l, '(approx\. |lt )?\d+(\.\d+)?\s*(days?|d)?') then regexp_extract(l, '(\d+(?:\.\d+)?)', 1)::double end) as bigint) as days, count(*) as n_orders from t group by 1""",
     "oee_rollup": """
-with r as (select distinct * from oee_daily),
-g as (select machine, case when availability > 1.5 then availability / 100 else availability end as a, case when performance > 1.5 then performance / 100 else performance end as p,
-  case when quality > 1.5 then quality / 100 else quality end as q from r),
-m as (select machine, round(avg(a), 6) as availability, round(avg(p), 6) as performance, round(avg(q), 6) as quality from g group by machine)
-select *, floor(availability * performance * quality * 1000.0::double) / 10 as oee_pct from m""",
+with l as (select machine, metric, case when x > 1.5 then x / 100 else x end as x from (unpivot (select distinct * from oee_daily) on availability, performance, quality into name metric value x)),
+m as (select machine, metric, (sum(cast(round(x * 1e6) as bigint)) // count(*))::double / 1e6 as x from l where x between 0 and 1 group by all),
+p as (select machine, max(x) filter (metric = 'availability') as availability, max(x) filter (metric = 'performance') as performance, max(x) filter (metric = 'quality') as quality
+  from m group by machine)
+select *, floor(availability * performance * quality * 1000.0::double) / 10 as oee_pct from p""",
     "telemetry_mean": "select event_type, round(avg(value), 2) as mean_value, count(value) as n_samples from events group by event_type",
     "json_props": "select try_cast(json_extract_string(props, '$.k') as bigint) as k, count(*) as n_events from events group by 1",
     "supplier_collapse": f"""
