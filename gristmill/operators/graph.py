@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from gristmill.functions.keys import clean_key, plain_codes
 from gristmill.functions.text import identifiers
 from gristmill.scratch import staged
 
@@ -90,7 +91,10 @@ def merge_edges(edges: DataFrame, order: str) -> DataFrame:
 
 
 def edges_of_rows(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """``src, rel, dst``: every identifier in a row's other columns, related to the row by the column's name."""
-    long = rows.select(F.col(key).alias("src"), *columns).unpivot(["src"], columns, "rel", "text")
-    found = long.select("src", F.upper(F.regexp_replace("rel", "[^A-Za-z0-9]+", "_")).alias("rel"), F.explode(identifiers(F.col("text"))).alias("dst"))
+    """``src, rel, dst``: every identifier in a row's other columns, related to the row by the column's name.
+
+    Keys count whatever their case and kind of hyphen; both ends come in the form of ``clean_key``.
+    """
+    long = rows.select(clean_key(F.col(key)).alias("src"), *columns).unpivot(["src"], columns, "rel", "text")
+    found = long.select("src", F.upper(F.regexp_replace("rel", "[^A-Za-z0-9]+", "_")).alias("rel"), F.explode(identifiers(plain_codes(F.col("text")))).alias("dst"))
     return found.filter("src <> dst").distinct()
