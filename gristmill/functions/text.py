@@ -8,6 +8,8 @@ from pyspark.sql import Column, functions as F
 TOKEN = r"[a-z0-9][a-z0-9\-]+"
 IDENTIFIER = r"\b[A-Z]{2,4}-\d{2,5}(?:-v\d+)?\b"
 CODE = r"(?<!\w)[A-Z]{2,4}-\d{2,9}(?!\w)"
+# The name Subject in Latin, full-width, Cyrillic and Greek letters, with invisible characters anywhere in it.
+SUBJECT = r"\n\p{Cf}*" + r"\p{Cf}*".join(["[SsＳｓЅѕ]", "[UuＵｕ]", "[BbＢｂВΒ]", "[JjＪｊЈјϳ]", "[EeＥｅЕеΕ]", "[CcＣｃСсϹϲ]", "[TtＴｔТΤ]"]) + r"[\p{Cf}\p{Zs}]*[:：] *([^\n]*)"
 STOPWORDS = (
     "about above after again also and any are been before being below between both but can does doing down each from further has have "
     "having here how into its just more most much not now off only other our out over own same should some such than that the their "
@@ -58,7 +60,9 @@ def strip_html(c: Column) -> Column:
 
 
 def mail_subject(c: Column) -> Column:
-    return F.regexp_extract(c, r"(?m)^Subject: *(.*)$", 1)
+    """What the header Subject says, the name written in any letters of the same shape; null where the head has no such line."""
+    head = F.concat(F.lit("\n"), F.substring_index(c, "\n\n", 1))
+    return F.when(head.rlike(SUBJECT), F.regexp_extract(head, SUBJECT, 1))
 
 
 def mail_body(c: Column) -> Column:

@@ -170,7 +170,7 @@ def html_strip(spark, sf_dir):
 
 
 def mail_parts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter(F.col("text").startswith("Subject:"))
+    docs = table(spark, sf_dir, "documents").filter("doc_type = 'email'")
     return docs.select("doc_id", X.mail_subject(F.col("text")).alias("subject"), F.md5(X.mail_body(F.col("text"))).alias("body_md5"))
 
 

@@ -21,3 +21,11 @@ def test_quality_and_abstention_use_the_labels(spark, tmp_path):
     m = reference.retrieval_quality(spark, str(tmp_path)).first()
     assert (m["n_queries"], m["recall_at_1"], m["recall_at_10"], m["mrr"]) == (3, 0.333333, 0.333333, 0.5)
     assert rows(reference.abstention(spark, str(tmp_path)).select("answerable", "n_queries", "n_answered")) == {(True, 3, 0), (False, 2, 0)}
+
+
+def test_no_mail_is_dropped_for_its_characters(spark, tmp_path):
+    heads = ["Subject: a", "\uff33\uff55\uff42\uff4a\uff45\uff43\uff54: a", "Sub\u0458e\u0441t: a", "S\u2060ubject: a", "Sub\xadject: a", "From: b\n\u0405ubject: a", "From: b", "Subject:"]
+    mails = [(k, f"{h}\n\nHello\nSubject: not this", "email") for k, h in enumerate(heads)]
+    spark.createDataFrame([*mails, (90, "Subject: a note", "sop"), (91, None, "email")], "doc_id long, text string, doc_type string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = rows(reference.mail_parts(spark, str(tmp_path)).select("doc_id", "subject"))
+    assert got == {*((k, "a") for k in range(6)), (6, None), (7, ""), (91, None)}
