@@ -54,15 +54,15 @@ def classify(c: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
     return label, F.coalesce(most, F.lit(0))
 
 
-def phrases_in(docs: DataFrame, phrases: DataFrame, key: str = "doc_id", text: str = "text", most_words: int = 6) -> DataFrame:
+def phrases_in(docs: DataFrame, phrases: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, alias, id``: which aliases stand in which texts, as whole words and regardless of case.
 
-    ``phrases`` has ``alias, id``. Texts are taken apart into runs of up to ``most_words`` words,
-    which meet the aliases by equality; only runs that open with an alias's first word are made.
-    Longer aliases are not looked for.
+    ``phrases`` has ``alias, id``. Texts are taken apart into runs of words, which meet the aliases
+    by equality; only runs that open with an alias's first word and have its length are made, so
+    aliases of any length are looked for. Aliases without a word are not.
     """
     words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    named = phrases.select("id", "alias", words(F.col("alias")).alias("w")).filter(F.size("w").between(1, most_words))
+    named = phrases.select("id", "alias", words(F.col("alias")).alias("w")).filter(F.size("w") > 0)
     named = named.select("id", "alias", F.size("w").alias("n"), F.col("w")[0].alias("head"), F.array_join("w", " ").alias("run")).distinct()
     heads = named.select("head", "n").distinct()
     read = docs.select(F.col(key), words(F.col(text)).alias("w"))

@@ -1,4 +1,4 @@
-from gristmill.operators import graph as G
+from gristmill.operators import documents as D, graph as G
 from gristmill.plans import reference
 
 from .conftest import rows
@@ -29,3 +29,10 @@ def test_no_mail_is_dropped_for_its_characters(spark, tmp_path):
     spark.createDataFrame([*mails, (90, "Subject: a note", "sop"), (91, None, "email")], "doc_id long, text string, doc_type string").write.parquet(f"{tmp_path}/documents.parquet")
     got = rows(reference.mail_parts(spark, str(tmp_path)).select("doc_id", "subject"))
     assert got == {*((k, "a") for k in range(6)), (6, None), (7, ""), (91, None)}
+
+
+def test_long_aliases_are_looked_for(spark):
+    names = [("robert doflesar welding supply s.r.l.", "S1"), ("a b c d e f g h i j k l", "S2"), ("...", "S3")]
+    docs = spark.createDataFrame([(1, "From Robert Doflesar Welding Supply S.R.L. today"), (2, "a b c d e f g h i j k l"), (3, "a b c d e f g h i j k")], "doc_id long, text string")
+    got = D.phrases_in(docs, spark.createDataFrame(names, "alias string, id string"))
+    assert rows(got) == {(1, names[0][0], "S1"), (2, names[1][0], "S2")}
