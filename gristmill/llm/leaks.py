@@ -15,7 +15,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from gristmill.llm.lookalikes import plain, repair, shape_of
+from gristmill.llm.lookalikes import judge_token, mixed_tokens, plain, repair, shape_of
+from gristmill.scratch import staged
 
 WINDOW = 13
 BROADCAST_BYTES = 64 << 20  # of item text
@@ -139,6 +140,23 @@ def _windows(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
     return df.select(key, text).mapInPandas(cut, f"key {key_type}, at int, gram binary")
 
 
+def _known(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """``key, known``: the items' words among the repairs of a text's mixed tokens, as the vocabulary is too large to send."""
+    key_type = texts.schema["key"].dataType.simpleString()
+
+    def proposals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(k, judge_token(m)[2].casefold()) for k, t in zip(batch["key"], batch["text"]) for m in mixed_tokens(plain(t))]
+            yield pd.DataFrame(rows, columns=["key", "word"])
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"word": sorted({w for t in batch["item_text"] for w in words_of(shape_of(plain(t)))})})
+
+    asked = texts.select("key", "text").mapInPandas(proposals, f"key {key_type}, word string").distinct()
+    return asked.join(items.select("item_text").mapInPandas(words, "word string").distinct(), "word", "left_semi").groupBy("key").agg(F.collect_set("word").alias("known"))
+
+
 def _join(slim: DataFrame, items: DataFrame, n: int) -> DataFrame:
     """For test sets too large to broadcast."""
     key_type = slim.schema["key"].dataType.simpleString()
@@ -151,9 +169,9 @@ def _join(slim: DataFrame, items: DataFrame, n: int) -> DataFrame:
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for k, t, hits in zip(batch["key"], batch["text"], batch["hits"]):
+            for k, t, hits, known in zip(batch["key"], batch["text"], batch["hits"], batch["known"]):
                 shape = shape_of(plain(t))
-                form, at = _placed(repair(plain(t), ()), shape, len(words_of(shape)))
+                form, at = _placed(repair(plain(t), _Folded(() if known is None else set(known))), shape, len(words_of(shape)))
                 spans = []
                 for hit in hits:
                     runs: list[list[int]] = []
@@ -166,7 +184,8 @@ def _join(slim: DataFrame, items: DataFrame, n: int) -> DataFrame:
                 rows.append((k, form, spans))
             yield pd.DataFrame(rows, columns=["key", "normal_text", "spans"])
 
-    return slim.join(hits, "key").select("key", "text", "hits").mapInPandas(merge, f"key {key_type}, normal_text string, spans {SPANS}")
+    leaked = staged(slim.join(hits, "key").select("key", "text", "hits"), "leaked")
+    return leaked.join(_known(leaked, items), "key", "left").select("key", "text", "hits", "known").mapInPandas(merge, f"key {key_type}, normal_text string, spans {SPANS}")
 
 
 def leaked_pairs(leaks: DataFrame, key: str = "doc_id") -> DataFrame:
