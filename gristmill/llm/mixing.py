@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gristmill.scratch import staged
 
@@ -121,20 +121,28 @@ def route(patterns: list[tuple[tuple[str, ...], int]], targets: list[tuple[str,
     return quota, {key: sum(room - arc.room for arc, room in arcs) for key, arcs in given.items()}
 
 
+def _named_only(sources: Column, targets: DataFrame) -> Column:
+    """Those of an array of sources that a target names, each once and in order; the targets are few and are routed on the driver anyway."""
+    rows = targets.filter("source is not null and target_share is not null").select("source").distinct().collect()
+    names = F.array(*[F.lit(r["source"]) for r in rows]).cast("array<string>")
+    return F.array_sort(F.array_intersect(sources, names))
+
+
 def plan_mix(tokens: DataFrame, targets: DataFrame) -> DataFrame:
     """``pattern, source, tokens, whole, rest, quota``: what each pattern gives to each source.
 
     ``tokens`` has ``sources`` (array), ``n_tokens``; ``targets`` ``source, target_share, max_repeats``.
-    Only the table of patterns, of at most ``MAX_PATTERNS`` rows, comes to the driver.
+    Only the table of patterns, of at most ``MAX_PATTERNS`` rows, comes to the driver; a pattern holds named sources
+    only, so sources that no target names do not count.
     """
     spark = tokens.sparkSession
     named = targets.filter("source is not null and target_share is not null").groupBy("source").agg(
         F.max("target_share").alias("share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("most")
     )
-    by_pattern = tokens.groupBy(F.array_sort(F.array_distinct("sources")).alias("pattern")).agg(F.sum("n_tokens").alias("tokens"))
+    by_pattern = tokens.groupBy(_named_only(F.col("sources"), targets).alias("pattern")).agg(F.sum("n_tokens").alias("tokens")).filter(F.size("pattern") > 0)
     rows = by_pattern.limit(MAX_PATTERNS + 1).collect()
     if len(rows) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} combinations of sources")
+        raise ValueError(f"more than {MAX_PATTERNS} combinations of named sources")
     patterns = [(tuple(r["pattern"]), int(r["tokens"] or 0)) for r in rows]
     quota, given = route(patterns, [(r["source"], float(r["share"]), int(r["most"])) for r in named.collect()])
     size = dict(patterns)
@@ -158,7 +166,7 @@ def mix(docs: DataFrame, targets: DataFrame, *, key: str = "doc_id", text: str =
     one = docs.schema[source].dataType.typeName() == "string"
     sources = F.when(F.col(source).isNull(), F.array().cast("array<string>")).otherwise(F.array(source)) if one else F.coalesce(F.col(source), F.array().cast("array<string>"))
     slim = docs.select(F.col(key).alias("key"), sources.alias("sources"), F.col(text).alias("text"))
-    tokens = staged(with_tokens(slim, "text", ranks_file).select("key", "n_tokens", F.array_sort(F.array_distinct("sources")).alias("pattern")), "tokens")
+    tokens = staged(with_tokens(slim, "text", ranks_file).select("key", "n_tokens", _named_only(F.col("sources"), targets).alias("pattern")), "tokens")
     plan = plan_mix(tokens.withColumnRenamed("pattern", "sources"), targets)
     offered = tokens.withColumn("source", F.explode("pattern")).join(F.broadcast(plan.filter("tokens > 0").drop("tokens")), ["pattern", "source"])
     drawn = offered.withColumn("draw", F.xxhash64(F.lit(seed), "source", "key")).withColumn(
