@@ -1,7 +1,7 @@
 """Quantities recorded in different units: read terms, map unit spellings, convert.
 
 Texts are read into (number, unit spelling) terms. The distinct spellings are mapped to units
-through a character n-gram index over the known names and a weighted edit distance that verifies
+through an index of letters over the known names and a weighted edit distance that verifies
 the candidates; the alias dictionary that results is joined to all terms.
 """
 
@@ -76,18 +76,17 @@ def unit_spelling(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), r"\(\p{L}+\)$", ""), r"\.$", "")
 
 
-def _grams(c: Column, n: int = 2) -> Column:
-    padded = F.concat(F.lit("^"), c, F.lit("$"))
-    starts = F.sequence(F.lit(1), F.greatest(F.length(padded) - (n - 1), F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda k: F.substring(padded, k, F.lit(n))))
+def _letters(c: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(c, ""), lambda x: x != ""))
 
 
 def alias_dictionary(spellings: DataFrame, most: float = 0.2) -> DataFrame:
     """``kind, spelling, factor`` for the rows of ``spellings`` (``kind, spelling``) that name a unit.
 
     Known names match as they are. Others of four letters or more meet, through an inverted index
-    of their bigrams, the names that share half of them; a weighted edit distance of at most
-    ``most`` of the longer length verifies. Spellings equally near to different units map to none.
+    of their letters, the names of which they lack no more letters than the distance allows: an edit
+    costs half at least and takes one letter at most. A weighted edit distance of at most ``most``
+    of the longer length decides. Spellings equally near to different units map to none.
     """
     known = known_units(spellings.sparkSession)
     spellings = spellings.select("kind", "spelling").distinct()
@@ -95,14 +94,14 @@ def alias_dictionary(spellings: DataFrame, most: float = 0.2) -> DataFrame:
         spellings.kind, "spelling", "factor"
     )
     unknown = spellings.join(exact, ["kind", "spelling"], "left_anti").filter(F.length("spelling") >= FUZZY_FROM)
-    index = known.filter(F.length("name") >= FUZZY_FROM).withColumn("size", F.size(_grams(F.col("name")))).withColumn(
-        "gram", F.explode(_grams(F.col("name")))
+    index = known.filter(F.length("name") >= FUZZY_FROM).withColumn("size", F.size(_letters(F.col("name")))).withColumn(
+        "letter", F.explode(_letters(F.col("name")))
     )
-    probes = unknown.withColumn("own", F.size(_grams(F.col("spelling")))).withColumn("gram", F.explode(_grams(F.col("spelling"))))
+    probes = unknown.withColumn("letter", F.explode(_letters(F.col("spelling"))))
     near = (
-        probes.join(index, ["kind", "gram"])
-        .groupBy("kind", "spelling", "name", "factor", "own", "size").agg(F.count("*").alias("shared"))
-        .filter(F.col("shared") * 2 >= F.least("own", "size"))
+        probes.join(index, ["kind", "letter"])
+        .groupBy("kind", "spelling", "name", "factor", "size").agg(F.count("*").alias("shared"))
+        .filter(F.col("shared") >= F.col("size") - 2 * most * F.greatest(F.length("spelling"), F.length("name")))
         .withColumn("distance", _distance("spelling", "name"))
         .filter(F.col("distance") <= most * F.greatest(F.length("spelling"), F.length("name")))
     )
