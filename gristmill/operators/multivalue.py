@@ -79,6 +79,7 @@ def split_values(df: DataFrame, field: str | Column, keep: list[Column | str], g
     column = F.col(field) if isinstance(field, str) else field
     slim = df.filter(column.isNotNull()).select(*keep, pieces(column).alias("_pieces"))
     kept = [c for c in slim.columns if c != "_pieces"]
-    return slim.select(*kept, F.posexplode("_pieces").alias("pos", "_piece")).select(
+    # an outer explode keeps the pieces from being worked out twice, once more to filter what has none
+    return slim.select(*kept, F.posexplode_outer("_pieces").alias("pos", "_piece")).filter("pos is not null").select(
         *kept, (F.col("pos") + 1).cast("bigint").alias("pos"), F.col("_piece.item").alias("item"), F.col("_piece.flag").alias("flag")
     )

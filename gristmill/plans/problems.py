@@ -112,16 +112,19 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.unionByName(machines).unionByName(of("documents", "doc_code", "document"))
 
 
+def _advanced(spark: SparkSession, sf_dir: str, refs: DataFrame) -> tuple[orphans.OrphanState, DataFrame]:
+    """The state after all that has arrived, and the references that came as orphans; what a query does not read of it is not worked out."""
+    return orphans.advance(orphans.no_state(spark), refs, orphans.parent_moves(targets(spark, sf_dir)), keep=False)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orphan = orphans.find_orphans(references(spark, sf_dir), targets(spark, sf_dir))
-    return orphan.select(
-        "ref_table", "row_key", F.col("key").alias("missing_key"), month_of(F.col("ts")).alias("ref_month")
-    ).distinct()
+    opened = _advanced(spark, sf_dir, references(spark, sf_dir))[1]
+    return opened.select("ref_table", "row_key", F.col("key").alias("missing_key"), month_of(F.col("ts")).alias("ref_month")).distinct()
 
 
 def p4_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open orphans per referring table at the end of each month in which they changed."""
-    open_now = orphans.open_orphans(references(spark, sf_dir).distinct(), targets(spark, sf_dir))
+    open_now = orphans.snapshots(_advanced(spark, sf_dir, references(spark, sf_dir).distinct())[0])
     return open_now.select("ref_table", month_of(F.col("period")).alias("month"), "opened_net", "open_orphans")
 
 

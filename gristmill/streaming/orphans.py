@@ -1,45 +1,53 @@
-"""Pending references kept as streaming state: opened, resolved and reopened as rows arrive."""
+"""Pending references as a stream: the kept orphan state advanced batch by batch."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from gristmill.operators.orphans import OrphanState, advance, no_state
 
-CHANGES = "target string, key string, ref_id string, change string"
-STATE = "alive int, refs array<string>, waiting boolean"
 
+def kept_state(spark: SparkSession, home: str, period: str = "month", before: int | None = None) -> OrphanState:
+    """The state after the last batch (before batch ``before``) of the stream that writes to ``home``."""
+    try:
+        done = spark.read.schema("epoch bigint").json(f"{home}/batches/*")
+    except AnalysisException:  # no batch is done yet
+        return no_state(spark, period)
+    if before is not None:
+        done = done.filter(F.col("epoch") < before)
+    last = done.agg(F.max("epoch")).first()[0]
+    if last is None:
+        return no_state(spark, period)
+    return OrphanState(*[spark.read.parquet(f"{home}/epoch={last}/{part}") for part in ("parents", "waiting")], period)
 
-def track(events: DataFrame, shards: int = 16) -> DataFrame:
-    """``target, key, ref_id, change`` as an update stream from events in order of arrival.
 
-    ``events`` has ``target, key, kind, ref_id``; kind is ``parent``, ``deleted`` or ``ref``. A
-    reference to a key without a living parent is ``opened``; the parent's arrival makes it
-    ``resolved``, the deletion of the last parent ``reopened``, for all references to the key
-    so far. The state of a key is its number of parents and the ids of its references, spread over
-    ``shards`` by reference, so that a key named by very many rows has no single state; parents
-    reach every shard.
+def track(events: DataFrame, home: str, period: str = "month") -> StreamingQuery:
+    """Advance the state with each batch of ``events`` until what is there now is done.
+
+    ``events`` has ``target, key, ts, kind, ref_table, ref_id``; kind is ``parent``, ``deleted`` or ``ref``. Within a batch they
+    come in any order, also several of one key: each counts at its own time. The state after a batch is a table of its
+    own under ``home``, and so are the references that came as orphans (``opened``); a batch that is run again after
+    a failure starts from the state before it and replaces its own tables.
     """
-    own = F.array(F.pmod(F.xxhash64("ref_id"), F.lit(shards)).cast("int"))
-    every = F.sequence(F.lit(0), F.lit(shards - 1))
-    events = events.withColumn("shard", F.explode(F.when(F.col("kind") == "ref", own).otherwise(every)))
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        alive, refs, _ = state.get if state.exists else (0, [], False)
-        refs, out = list(refs or []), []
-        for batch in batches:
-            for kind, ref in zip(batch["kind"], batch["ref_id"]):
-                before = alive > 0
-                if kind == "ref":
-                    refs.append(ref)
-                    out += [] if before else [(ref, "opened")]
-                    continue
-                alive = max(0, alive + (1 if kind == "parent" else -1))
-                if before != (alive > 0):
-                    out += [(r, "resolved" if alive else "reopened") for r in refs]
-        state.update((alive, refs, alive == 0 and bool(refs)))
-        yield pd.DataFrame([(*key[:2], *row) for row in out], columns=["target", "key", "ref_id", "change"])
-
-    return events.groupBy("target", "key", "shard").applyInPandasWithState(step, CHANGES, STATE, "update", GroupStateTimeout.NoTimeout)
+    spark = events.sparkSession
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        batch = batch.persist()
+        state = kept_state(spark, home, period, epoch)
+        refs = batch.filter("kind = 'ref'").select("target", "key", "ts", "ref_table", "ref_id")
+        delta = F.when(F.col("kind") == "parent", 1).otherwise(-1)
+        moves = batch.filter("kind <> 'ref' and key is not null and ts is not null").select("target", "key", "ts", delta.alias("delta"))
+        after, opened = advance(state, refs, moves, keep=False)
+        for name, df in (("parents", after.parents), ("waiting", after.waiting), ("opened", opened)):
+            df.write.mode("overwrite").parquet(f"{home}/epoch={epoch}/{name}")
+        spark.range(1).select(F.lit(epoch).cast("bigint").alias("epoch")).write.mode("overwrite").json(f"{home}/batches/done={epoch}")
+        batch.unpersist()
+
+    return events.writeStream.foreachBatch(step).option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start()
+
+
+def opened(spark: SparkSession, home: str) -> DataFrame:
+    """All references that came as orphans so far."""
+    return spark.read.option("basePath", home).parquet(f"{home}/epoch=*/opened").drop("epoch")

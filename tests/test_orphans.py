@@ -1,6 +1,9 @@
 import random
 
+from pyspark.sql import functions as F
+
 from gristmill.operators import orphans as O
+from gristmill.streaming.orphans import kept_state, opened, track
 
 from .conftest import day, rows
 
@@ -22,10 +25,48 @@ def test_against_brute_force(spark):
     # a third of all references name one key
     refs = [("p", "K3" if rng.random() < 0.3 else f"K{rng.randrange(40)}", day(rng.randrange(220)), "t", f"r{k}", 1) for k in range(400)]
     refs += refs[:20] + [("p", None, day(1), "t", "x", 1), ("p", "K1", None, "t", "y", 1), ("p", "K50", day(3), "t", None, None)]
-    for period in ("month", "day", "year"):
-        got = O.find_orphans(spark.createDataFrame(refs, REFS), spark.createDataFrame(parents, PARENTS), period)
-        assert rows(got) == brute(refs, parents)
-        assert got.count() >= len(brute(refs, parents))
+    got = O.find_orphans(spark.createDataFrame(refs, REFS), spark.createDataFrame(parents, PARENTS))
+    assert rows(got) == brute(refs, parents) and got.count() >= len(brute(refs, parents))
+    for shards in (1, 3):
+        assert rows(O.probe(spark.createDataFrame(refs, REFS).filter("key is not null and ts is not null"), O.parent_moves(spark.createDataFrame(parents, PARENTS)), shards)) == brute(refs, parents)
+
+
+def history(rng):
+    parents = [("p", f"K{rng.randrange(12)}", day(rng.randrange(120)), None if rng.random() < 0.4 else day(rng.randrange(150))) for _ in range(60)]
+    refs = [("p", f"K{rng.randrange(14)}", day(rng.randrange(150)), rng.choice("tu"), f"r{k}", 1) for k in range(300)]
+    return refs, parents
+
+
+def test_increments_equal_one_advance(spark):
+    """Three increments, the state kept between them, give the orphans and snapshots of one, and of the whole history at once."""
+    refs, parents = history(random.Random(3))
+    refs, moves = spark.createDataFrame(refs, REFS), O.parent_moves(spark.createDataFrame(parents, PARENTS))
+    once, found = O.advance(O.no_state(spark), refs, moves)
+    state, parts = O.no_state(spark), set()
+    for lo, hi in ((-1, 40), (40, 41), (41, 400)):
+        part = lambda df: df.filter((F.col("ts") >= F.lit(day(lo))) & (F.col("ts") < F.lit(day(hi))))  # noqa: B023, E731
+        state, opened = O.advance(state, part(refs), part(moves))
+        parts |= rows(opened)
+    assert parts == rows(found) != set()
+    assert rows(O.snapshots(state)) == rows(O.snapshots(once)) == rows(O.open_orphans(refs, spark.createDataFrame(parents, PARENTS)))
+
+
+def test_stream_equals_one_advance(spark, tmp_path):
+    """The same history as a stream of three files, each with several events of a key in no order."""
+    rng = random.Random(6)
+    refs, parents = history(rng)
+    moves = [(*tuple(r)[:3], "parent" if r["delta"] > 0 else "deleted", None, None) for r in O.parent_moves(spark.createDataFrame(parents, PARENTS)).collect() for _ in range(abs(r["delta"]))]
+    events = [(*r[:3], "ref", *r[3:5]) for r in refs] + moves
+    rng.shuffle(events)
+    schema = "target string, key string, ts timestamp_ntz, kind string, ref_table string, ref_id string"
+    for n, (lo, hi) in enumerate(((-1, 50), (50, 90), (90, 400))):
+        part = [e for e in events if day(lo) <= e[2] < day(hi)]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        track(stream, str(tmp_path / "home")).awaitTermination()
+    state, found = O.advance(O.no_state(spark), spark.createDataFrame(refs, REFS), O.parent_moves(spark.createDataFrame(parents, PARENTS)))
+    assert {tuple(r)[4] for r in opened(spark, str(tmp_path / "home")).collect()} == {r["row_key"] for r in found.collect()}
+    assert rows(O.snapshots(kept_state(spark, str(tmp_path / "home")))) == rows(O.snapshots(state))
 
 
 def test_moves_come_before_references_of_the_same_time(spark):

@@ -4,7 +4,7 @@ import zipfile
 import zlib
 
 from gristmill.sources import readers as S
-from gristmill.streaming import orphans as O, tables as T
+from gristmill.streaming import tables as T
 
 from .conftest import rows
 
@@ -69,16 +69,3 @@ def test_windowed_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r["n"], r["total"]) for r in spark.table("counted").collect()] == [(2, 3.0)]
-
-
-def test_orphan_state(spark, tmp_path):
-    schema, src = "target string, key string, kind string, ref_id string", str(tmp_path / "in")
-    (tmp_path / "in").mkdir()
-    stream = spark.readStream.schema(schema).parquet(src)
-    q = O.track(stream).writeStream.format("memory").queryName("changes").outputMode("update").start()
-    for batch in ([("p", "A", "ref", "1")], [("p", "A", "parent", None)], [("p", "A", "ref", "2")], [("p", "A", "deleted", None)]):
-        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
-        q.processAllAvailable()
-    q.stop()
-    got = {(r["ref_id"], r["change"]) for r in spark.table("changes").collect()}
-    assert got == {("1", "opened"), ("1", "resolved"), ("1", "reopened"), ("2", "reopened")}
