@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def present(c: Column) -> Column:
@@ -56,7 +56,7 @@ def oee(availability: Column, performance: Column, quality: Column) -> Column:
 
 
 # Conversion factors.
-FACTORS = {("mm", "in"): 1 / 25.4, ("in", "mm"): 25.4, ("nm", "ft_lb"): 0.737562149, ("kg_m3", "g_cm3"): 0.001, ("h", "min"): 60.0}
+FACTORS = {("mm", "in"): 1 / 25.4, ("in", "mm"): 25.4, ("nm", "ft_lb"): 0.737562149, ("kg_m3", "g_cm3"): 0.001, ("h", "min"): 60.0, ("wk", "d"): 7.0}
 
 
 def convert(value: Column, from_unit: str, to_unit: str) -> Column:
@@ -67,3 +67,8 @@ def nearly_equal(a: Column, b: Column) -> Column:
     """Numbers within 1e-4, other text equal but for case and blanks around it."""
     x, y = a.try_cast("double"), b.try_cast("double")
     return F.when(x.isNotNull() & y.isNotNull(), F.abs(x - y) <= 1e-4).otherwise(F.lower(F.trim(a)) == F.lower(F.trim(b)))
+
+
+def factors(spark) -> DataFrame:
+    """``from_unit, to_unit, factor``: the conversions as a table to join to values in mixed units."""
+    return spark.createDataFrame([(*units, f) for units, f in FACTORS.items()], "from_unit string, to_unit string, factor double")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, functions as F
 
+_PRINT = ("ndash", "mdash", "lsquo", "rsquo", "ldquo", "rdquo", "bull", "hellip", "euro", "trade", "minus", "le", "ge", "ne")
 # The token and identifier patterns, and words that carry no content.
 TOKEN = r"[a-z0-9][a-z0-9\-]+"
-IDENTIFIER = r"\b[A-Z]{2,4}-\d{2,5}(?:-v\d+)?\b"
-CODE = r"(?<!\w)[A-Z]{2,4}-\d{2,9}(?!\w)"
+CODE = r"(?<!\w)[A-Z]{2,4}-\d{2,9}(?:-v\d+)?(?!\w)"
 # The name Subject in Latin, full-width, Cyrillic and Greek letters, with invisible characters anywhere in it.
 SUBJECT = r"\n\p{Cf}*" + r"\p{Cf}*".join(["[SsＳｓЅѕ]", "[UuＵｕ]", "[BbＢｂВΒ]", "[JjＪｊЈјϳ]", "[EeＥｅЕеΕ]", "[CcＣｃСсϹϲ]", "[TtＴｔТΤ]"]) + r"[\p{Cf}\p{Zs}]*[:：] *([^\n]*)"
 STOPWORDS = (
@@ -46,6 +48,21 @@ def slug(c: Column, prefix: str = "ING-", most: int = 48) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.upper(F.regexp_replace(F.regexp_replace(c, "[^A-Za-z0-9]+", "-"), "^-+|-+$", "")), 1, most))
 
 
+def resolve_entities(c: Column) -> Column:
+    """Named (of Latin-1 and common print) and numeric entities as their characters, each once; a no-break space as a blank."""
+    known = {name: " " if name == "nbsp" else chr(cp) for name, cp in name2codepoint.items() if cp < 256 or name in _PRINT} | {"apos": "'"}
+    table = F.create_map(*[F.lit(x) for pair in sorted(known.items()) for x in pair])
+    parts = F.regexp_extract_all(c, F.lit(r"(?s)&#\d{1,7};|&#[xX][0-9a-fA-F]{1,6};|&[A-Za-z][A-Za-z0-9]{1,7};|.[^&]*"), F.lit(0))
+
+    def resolved(p: Column) -> Column:
+        inner = F.regexp_replace(p, "^&#?[xX]?|;$", "")
+        code = F.when(p.rlike(r"^&#\d"), inner.try_cast("bigint")).when(p.rlike("^&#[xX]"), F.conv(inner, 16, 10).try_cast("bigint"))
+        char = F.when((code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        return F.when(p.rlike("^&.*;$"), F.coalesce(F.when(code == 160, " "), char, F.try_element_at(table, inner), p)).otherwise(p)
+
+    return F.array_join(F.transform(parts, resolved), "")
+
+
 def strip_html(c: Column) -> Column:
     """Script, style, navigation and footer out, list items and block ends as lines, tags out, entities resolved."""
     for tag in ("script", "style", "nav", "footer"):
@@ -53,8 +70,7 @@ def strip_html(c: Column) -> Column:
     c = F.regexp_replace(c, r"(?i)<li\b[^>]*>", "\n- ")
     c = F.regexp_replace(c, r"(?i)</(?:p|div|h[1-6]|li|tr|ul|ol|section|table)\s*>|<br\s*/?>", "\n")
     c = F.regexp_replace(c, r"<[^>]+>", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(char))
+    c = F.when(F.instr(c, "&") > 0, resolve_entities(c)).otherwise(c)
     c = F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r" ?\n ?", "\n")
     return F.regexp_replace(F.regexp_replace(c, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
@@ -72,16 +88,33 @@ def mail_body(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(body, r"(?m)^>.*(?:\n|$)", ""), r"\n+$", ""))
 
 
-def mend_identifiers(c: Column) -> Column:
-    """Letters read for digits inside identifiers (``PRT-2O01l``): O and o become 0, l and I become 1."""
-    parts = F.regexp_extract_all(c, F.lit(r"(?s)\b[A-Z]{2,4}-(?=[0-9OolI]*\d)[0-9OolI]+\b|.[^A-Z]*"), F.lit(0))
-    mended = F.transform(parts, lambda p: F.when(
-        p.rlike(r"^[A-Z]{2,4}-(?=[0-9OolI]*\d)[0-9OolI]+$"),
-        F.concat(F.substring_index(p, "-", 1), F.lit("-"), F.translate(F.substring_index(p, "-", -1), "OolI", "0011")),
+_READ_ID = r"\b[A-Z]{2,4}-(?=[0-9OolI]*\d)[0-9OolI]+\b"
+_READ_DATE = r"\b(?=[0-9OolI-]*\d)[0-9OolI]{4}-[0-9OolI]{2}-[0-9OolI]{2}\b"
+
+
+def mend_scanned(c: Column) -> Column:
+    """Letters read for digits inside identifiers (``PRT-2O01l``) and dates (``2O25-0l-15``): O and o become 0, l and I become 1."""
+    parts = F.regexp_extract_all(c, F.lit(rf"(?s){_READ_DATE}|{_READ_ID}|.[^A-Z0-9OolI]*"), F.lit(0))
+    digits = lambda t: F.translate(t, "OolI", "0011")
+    mended = F.transform(parts, lambda p: F.when(p.rlike(f"^{_READ_DATE}$"), digits(p)).when(
+        p.rlike(f"^{_READ_ID}$"), F.concat(F.substring_index(p, "-", 1), F.lit("-"), digits(F.substring_index(p, "-", -1)))
     ).otherwise(p))
     return F.array_join(mended, "")
 
 
+def space_units(c: Column) -> Column:
+    """``1h30m`` as ``1 h 30 m``: a blank between a number and the unit after it, and between a unit and the number after it."""
+    return F.regexp_replace(F.regexp_replace(c, r"(?<=\d)(?=[A-Za-z])", " "), r"(?<=\d [A-Za-z]{1,4})(?=\d)", " ")
+
+
+NAME_HEAD = 300
+
+
+def name_phrases(c: Column, head: int = NAME_HEAD) -> Column:
+    """Phrases of two to four capitalised words among the first ``head`` characters, where documents name what they are about; each once."""
+    return F.array_distinct(F.regexp_extract_all(F.substring(c, 1, head), F.lit(r"\b[A-Z][a-z]+(?: [A-Z][a-z]+){1,3}\b"), F.lit(0)))
+
+
 def title_of(c: Column, most: int = 90) -> Column:
     """The first line that is not blank."""
     return F.substring(F.trim(F.regexp_extract(c, r"(?m)^\s*(\S.*)$", 1)), 1, most)
@@ -107,7 +140,12 @@ def format_of(name: Column, head: Column) -> Column:
     )
 
 
+#: What the bytes 0x80 to 0x9F are in code page 1252, where it has a character for them.
+_CP1252 = {chr(b): t for b in range(0x80, 0xA0) if (t := bytes([b]).decode("cp1252", "ignore"))}
+
+
 def decode_text(content: Column) -> Column:
-    """UTF-8 (with or without mark) or else ISO-8859-1, with plain line breaks."""
-    text = F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")).otherwise(F.decode(content, "ISO-8859-1"))
-    return F.regexp_replace(F.regexp_replace(text, "^﻿", ""), "\r\n?", "\n")
+    """UTF-8 (with or without mark) or else code page 1252, with plain line breaks."""
+    western = F.translate(F.decode(content, "ISO-8859-1"), "".join(_CP1252), "".join(_CP1252.values()))
+    text = F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")).otherwise(western)
+    return F.regexp_replace(F.regexp_replace(text, "^\ufeff", ""), "\r\n?", "\n")

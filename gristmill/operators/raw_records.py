@@ -36,7 +36,7 @@ _BARE = re.compile(r'[^",\r\n]*')
 _QUOTED = re.compile(r'"([^"]*(?:""[^"]*)*)"')
 
 ERROR_TYPE = "array<struct<code:string,field:int,pos:int>>"
-RECORD_TYPE = f"part int, starts_at int, ok boolean, values array<string>, errors {ERROR_TYPE}"
+RECORD_TYPE = f"part int, n_parts int, starts_at int, ok boolean, values array<string>, errors {ERROR_TYPE}"
 
 
 def _id(prefix: str) -> Callable[[str], bool]:
@@ -122,8 +122,10 @@ class _Reader:
 
     def record(self, raw: str, at: int) -> tuple[list[str] | None, list[tuple[str, int, int]], int]:
         values: list[str] = []
+        places: list[int] = []
         start = at
         while True:
+            places.append(at)
             value, at, wrong = self.field(raw, at)
             if wrong:
                 return None, [(wrong, len(values), at)], self.resume(raw, start, at)
@@ -135,7 +137,7 @@ class _Reader:
                 if (m := self.anchor.match(raw, at)) is None:
                     return None, [("line_break_in_bare_field", len(values) - 1, at)], self.resume(raw, start, at)
                 at = m.end()
-            return values, self.check(values, start), at
+            return values, self.check(values, places), at
 
     def field(self, raw: str, at: int) -> tuple[str, int, str]:
         """Value, end and kind of error ('' if none) of the field at ``at``."""
@@ -162,12 +164,14 @@ class _Reader:
             m = self.anchor.search(raw, m.end())
         return m.end() if m else len(raw)
 
-    def check(self, values: list[str], start: int) -> list[tuple[str, int, int]]:
+    def check(self, values: list[str], places: list[int]) -> list[tuple[str, int, int]]:
+        """Errors of the values, each with its field and where that begins."""
         want = len(self.spec.columns)
         if len(values) != want:
-            return [("too_many_fields" if len(values) > want else "too_few_fields", min(len(values), want), start)]
+            k = min(len(values), want)
+            return [("too_many_fields" if len(values) > want else "too_few_fields", k, places[min(k, len(places) - 1)])]
         return [
-            ("invalid_" + name, k, start)
+            ("invalid_" + name, k, places[k])
             for k, (name, rule) in enumerate(zip(self.spec.columns, self.spec.rules))
             if rule is not None and not rule(values[k].strip())
         ]
@@ -175,9 +179,9 @@ class _Reader:
 
 def parse_records(df: DataFrame, id_col: str = "record_id", file_col: str = "source_file", raw_col: str = "raw",
                   files: dict[str, FileSpec] = FILES) -> DataFrame:
-    """One row per record found in each text: ``id_col, file_col, part, starts_at, ok, values, errors``.
+    """One row per record found in each text: ``id_col, file_col, part, n_parts, starts_at, ok, values, errors``.
 
-    ``part`` counts the records of a text from 1, ``starts_at`` is the record's first character,
+    ``part`` counts the ``n_parts`` records of a text from 1, ``starts_at`` is the record's first character,
     ``values`` is null where the quoting broke. A null or empty text gives one row with the error
     ``empty_text``, an unknown file one with ``unknown_file``. Only the three named columns are
     read, so further columns of any name do no harm; repeated rows give repeated results.
@@ -189,13 +193,14 @@ def parse_records(df: DataFrame, id_col: str = "record_id", file_col: str = "sou
             rows = []
             for rid, file, raw in zip(batch["id"], batch["file"], batch["raw"]):
                 if not raw:
-                    rows.append((rid, file, 1, 0, False, None, [("empty_text", 0, 0)]))
+                    rows.append((rid, file, 1, 1, 0, False, None, [("empty_text", 0, 0)]))
                 elif file not in readers:
-                    rows.append((rid, file, 1, 0, False, None, [("unknown_file", 0, 0)]))
+                    rows.append((rid, file, 1, 1, 0, False, None, [("unknown_file", 0, 0)]))
                 else:
-                    for n, (start, values, errors) in enumerate(readers[file].text(raw), 1):
-                        rows.append((rid, file, n, start, not errors, values, errors))
-            yield pd.DataFrame(rows, columns=["id", "file", "part", "starts_at", "ok", "values", "errors"])
+                    found = readers[file].text(raw)
+                    for n, (start, values, errors) in enumerate(found, 1):
+                        rows.append((rid, file, n, len(found), start, not errors, values, errors))
+            yield pd.DataFrame(rows, columns=["id", "file", "part", "n_parts", "starts_at", "ok", "values", "errors"])
 
     id_type = df.schema[id_col].dataType.simpleString()
     slim = df.select(F.col(id_col).alias("id"), F.col(file_col).alias("file"), F.col(raw_col).alias("raw"))
@@ -205,7 +210,7 @@ def parse_records(df: DataFrame, id_col: str = "record_id", file_col: str = "sou
 
 def failed(parsed: DataFrame, id_col: str = "record_id") -> DataFrame:
     """Ids of texts that are not exactly one valid record."""
-    return parsed.filter(~F.col("ok") | (F.col("part") > 1)).select(id_col).distinct()
+    return parsed.filter(~F.col("ok") | (F.col("n_parts") > 1)).select(id_col).distinct()
 
 
 def _value(name: str, spec: FileSpec) -> Column:
@@ -220,10 +225,11 @@ def _any_date(c: Column) -> Column:
     return F.coalesce(F.try_to_date(c, "yyyy-MM-dd"), F.try_to_date(c, "MM/dd/yyyy"))
 
 
-def typed(parsed: DataFrame, file: str, files: dict[str, FileSpec] = FILES) -> DataFrame:
-    """The valid records of one file as typed columns, beside ``record_id``; empty text becomes null.
+def typed(parsed: DataFrame, file: str, files: dict[str, FileSpec] = FILES, strict: bool = True) -> DataFrame:
+    """The valid records of one file as typed columns, beside ``record_id`` and ``part``; empty text becomes null.
 
-    Only texts that hold exactly one record count, as in ``failed``.
+    With ``strict`` only texts that are exactly one record count, as in ``failed``; without, also the valid records of a text of
+    several, those that reading found again after a broken quote among them.
     """
     spec = files[file]
     rows = parsed.filter((F.col("source_file") == file) & F.col("ok"))
@@ -235,4 +241,5 @@ def typed(parsed: DataFrame, file: str, files: dict[str, FileSpec] = FILES) -> D
     columns = [
         typed_as.get(name, lambda c: F.nullif(c, F.lit("")))(_value(name, spec)).alias(name) for name in spec.columns
     ]
-    return rows.join(failed(parsed), "record_id", "left_anti").select("record_id", *columns)
+    rows = rows.filter("n_parts = 1") if strict else rows
+    return rows.select("record_id", "part", *columns)

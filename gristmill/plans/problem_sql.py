@@ -237,3 +237,7 @@ SQL["p2_verdicts"] = (
     + _P2[_P2.rindex("\nwhere n_before") :]
     + ") group by metric, verdict"
 )
+SQL["p1_recovered"] = " union all ".join(
+    f"select source_file, count(*) as n_valid, cast(0 as bigint) as n_recovered from ({_SPLIT}) where source_file = '{file}' and {part}.v1 <> '' and {ok} group by 1"
+    for file, part, ok in (("erp/suppliers_master.csv", "s6", _SUPPLIER_OK), ("erp/purchase_orders.csv", "s", _ORDER_OK), ("maintenance/cmms_export.csv", "s", _WORK_OK))
+)

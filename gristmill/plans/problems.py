@@ -26,16 +26,22 @@ def p1_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.groupBy("source_file", "reason").agg(F.count("*").alias("n_records"))
 
 
+def p1_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many records of each file are valid, and how many of them stand in a text with others or with a broken part."""
+    good = _parsed(spark, sf_dir).filter("ok").groupBy("source_file")
+    return good.agg(F.count("*").alias("n_valid"), F.count_if(F.col("n_parts") > 1).alias("n_recovered"))
+
+
 def p1_purchase_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_records.typed(_parsed(spark, sf_dir), "erp/purchase_orders.csv")
+    return raw_records.typed(_parsed(spark, sf_dir), "erp/purchase_orders.csv").drop("part")
 
 
 def p1_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_records.typed(_parsed(spark, sf_dir), "erp/suppliers_master.csv")
+    return raw_records.typed(_parsed(spark, sf_dir), "erp/suppliers_master.csv").drop("part")
 
 
 def p1_work_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_records.typed(_parsed(spark, sf_dir), "maintenance/cmms_export.csv")
+    return raw_records.typed(_parsed(spark, sf_dir), "maintenance/cmms_export.csv").drop("part")
 
 
 def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,6 +152,6 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_reasons, p1_purchase_orders, p1_suppliers, p1_work_orders, p2_found, p2_verdicts, p3_found,
+    for f in (p1_found, p1_reasons, p1_recovered, p1_purchase_orders, p1_suppliers, p1_work_orders, p2_found, p2_verdicts, p3_found,
               p3_item_counts, p4_found, p4_snapshots, p6_found)
 }

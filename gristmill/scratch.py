@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,10 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a folder of its own only where that is unset (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session (tests) gets a folder of its own, which goes when the session's process ends; on a
+    cluster it is an error, as executors would each write to their own disk.
+    """
     path = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="gristmill-")
+        if not (spark.sparkContext.master or "").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="gristmill-")
+        atexit.register(shutil.rmtree, folder, True)
+        path = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
@@ -29,14 +39,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+SPREAD_BYTES = 32 << 20  # of input for each core
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """``df`` over all cores where its files give fewer tasks than there are cores; else as it is.
+    """``df`` over all cores where its input is small (less than ``SPREAD_BYTES`` a core); else as it is.
 
-    For work that is heavy per row: one small file of long texts would otherwise be one task. Large
-    inputs have more splits than cores and are never shuffled by this.
+    For work that is heavy per row: one small file of long texts would otherwise be one task. Larger inputs have splits enough
+    for every core and are never shuffled by this.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores, key) if size < cores * SPREAD_BYTES else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,16 +2,7 @@
 
 from __future__ import annotations
 
-import csv
-import io
-import re
-import zipfile
-import zlib
-from collections.abc import Iterator
-from xml.etree import ElementTree
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from gristmill.functions.text import decode_text, format_of, mail_body, mail_subject, strip_html
 
@@ -38,6 +29,19 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str,
     return spark.read.schema(schema).json(path, mode="FAILFAST" if strict else "DROPMALFORMED")
 
 
+def broken_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """``path, line``: the lines of JSON-lines files that do not parse."""
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    marked = T.StructType([*fields.fields, T.StructField("_broken", T.StringType())])
+    lines = spark.read.text(path).select(F.input_file_name().alias("path"), F.col("value").alias("line")).filter("trim(line) <> ''")
+    parsed = F.from_json("line", marked, {"columnNameOfCorruptRecord": "_broken"})
+    return lines.filter(parsed["_broken"].isNotNull()).select("path", "line")
+
+
+def write_json_lines(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").json(path, ignoreNullFields=False)
+
+
 def read_master(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a plant file: machines with their codenames, lines and programs."""
     machine = "array<struct<id:string,codename:string,type:string,line:string,line_codename:string,program:string>>"
@@ -49,118 +53,40 @@ def read_master(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return nodes.distinct(), edge("line", "ON_LINE").unionByName(edge("program", "RUNS_PROGRAM")).distinct()
 
 
-_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-_S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-
-
-def docx_text(content: bytes) -> str:
-    """Paragraphs as lines, table rows as cells joined by `` | ``."""
-    body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml")).find(f"{_W}body")
-    text = lambda e: "".join(t.text or "" for t in e.iter(f"{_W}t"))
-    lines = []
-    for part in body if body is not None else ():
-        if part.tag == f"{_W}tbl":
-            lines += [" | ".join(text(cell).strip() for cell in row.iter(f"{_W}tc")) for row in part.iter(f"{_W}tr")]
-        elif part.tag == f"{_W}p":
-            lines.append(text(part))
-    return "\n".join(line for line in lines if line.strip())
-
-
-def xlsx_text(content: bytes) -> str:
-    """Rows of all sheets as cells joined by `` | ``."""
-    book = zipfile.ZipFile(io.BytesIO(content))
-    names = book.namelist()
-    shared: list[str] = []
-    if "xl/sharedStrings.xml" in names:
-        shared = ["".join(t.text or "" for t in si.iter(f"{_S}t")) for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))]
-    lines = []
-    for name in sorted(n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)):
-        for row in ElementTree.fromstring(book.read(name)).iter(f"{_S}row"):
-            cells = []
-            for cell in row.iter(f"{_S}c"):
-                value = cell.findtext(f"{_S}v") or ""
-                if cell.get("t") == "s" and value:
-                    value = shared[int(value)]
-                elif cell.get("t") == "inlineStr":
-                    value = "".join(t.text or "" for t in cell.iter(f"{_S}t"))
-                cells.append(value)
-            if any(cells):
-                lines.append(" | ".join(cells))
-    return "\n".join(lines)
-
-
-def csv_text(content: bytes) -> str:
-    """Rows as trimmed cells joined by `` | ``, blank rows left out."""
-    try:
-        text = content.decode("utf-8-sig")
-    except UnicodeDecodeError:
-        text = content.decode("cp1252", "replace")
-    rows = ([cell.strip() for cell in row] for row in csv.reader(io.StringIO(text, newline="")))
-    return "\n".join(" | ".join(row) for row in rows if any(row))
-
-
-_PDF_TEXT = re.compile(rb"\[((?:\\.|[^\]\\])*)\]\s*TJ|\(((?:\\.|[^()\\])*)\)\s*(?:Tj|'|\")|(T\*|Td|TD|ET)", re.S)
-_PDF_PART = re.compile(rb"\(((?:\\.|[^()\\])*)\)|(-?\d+(?:\.\d+)?)", re.S)
-_PDF_ESCAPE = re.compile(rb"\\([0-7]{1,3}|.)", re.S)
-_PDF_NAMED = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"", b"f": b""}
-
-
-def _pdf_string(raw: bytes) -> str:
-    plain = lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() else _PDF_NAMED.get(m[1], m[1])
-    return _PDF_ESCAPE.sub(plain, raw).decode("latin-1")
-
-
-def pdf_text(content: bytes) -> str:
-    """Text shown by plain and deflated content streams; a wide gap between pieces is a blank."""
-    lines, line = [], ""
-    for m in re.finditer(rb"stream\r?\n(.*?)\r?\nendstream", content, re.S):
-        stream = m[1]
-        try:
-            stream = zlib.decompress(stream)
-        except zlib.error:
-            pass
-        for op in _PDF_TEXT.finditer(stream):
-            if op[3] is not None:
-                lines.append(line)
-                line = ""
-            elif op[2] is not None:
-                line += _pdf_string(op[2])
-            else:
-                for piece in _PDF_PART.finditer(op[1]):
-                    line += _pdf_string(piece[1]) if piece[1] is not None else " " if float(piece[2]) < -100 else ""
-    return "\n".join(x.strip() for x in [*lines, line] if x.strip())
+def csv_text(content: Column) -> Column:
+    """The text of a delimited file with the cells of a row joined by `` | ``, blank rows left out.
+
+    Rows are cut at line breaks outside quotes, cells at commas outside quotes.
+    """
+    row = F.regexp_extract_all(content, F.lit(r'(?:"(?:[^"]|"")*"|[^"\n])+'), F.lit(0))
+    cells = lambda r: F.regexp_extract_all(F.concat(r, F.lit(",")), F.lit(r'((?:"(?:[^"]|"")*"|[^",])*),'), F.lit(1))
+    quoted = lambda c: F.replace(F.regexp_replace(F.trim(c), r'^"|"$', ""), F.lit('""'), F.lit('"'))
+    plain = lambda c: F.trim(F.when(F.trim(c).rlike(r'(?s)^".*"$'), quoted(c)).otherwise(c))
+    lines = F.transform(row, lambda r: F.array_join(F.transform(cells(r), plain), " | "))
+    return F.array_join(F.filter(lines, lambda line: F.regexp_replace(line, r"[\s|]+", "") != ""), "\n")
+
+
+def json_text(content: Column) -> Column:
+    """The values of a JSON text as compact text with one form of blanks; what does not parse stays as it is."""
+    return F.coalesce(F.to_json(F.try_parse_json(content)), content)
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """``path, format, title, text, error`` of every file under a folder, by its format.
 
-    HTML loses its markup, mails their quotes and signatures, tables become lines of cells joined by
-    `` | ``. A file that cannot be read has a null text and the reason. Files are read whole, each
-    within one task.
+    HTML loses its markup, mails their quotes and signatures, CSV becomes lines of cells joined by
+    `` | ``, JSON compact text. Office and PDF files, which need libraries of their own, have a null text and the reason. Files are
+    read whole, each within one task.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    typed = raw.select("path", format_of(F.col("path"), F.col("content")).alias("format"), "content")
-    office = {"docx": docx_text, "xlsx": xlsx_text, "pdf": pdf_text, "csv": csv_text}
-
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for p, f, content in zip(batch["path"], batch["format"], batch["content"]):
-                try:
-                    rows.append((p, f, None, office[f](content), None))
-                except Exception as e:  # a broken file must not stop the others
-                    rows.append((p, f, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["path", "format", "title", "text", "error"])
-
-    binary = typed.filter(F.col("format").isin(*office)).mapInPandas(unpack, "path string, format string, title string, text string, error string")
-    text = decode_text(F.col("content"))
-    plain = typed.filter(~F.col("format").isin(*office)).withColumn("raw", text).select(
-        "path", "format", F.when(F.col("format") == "eml", mail_subject(F.col("raw"))).alias("title"),
-        F.when(F.col("format") == "html", strip_html(F.col("raw"))).when(F.col("format") == "eml", mail_body(F.col("raw")))
-        .otherwise(F.col("raw")).alias("text"),
-        F.lit(None).cast("string").alias("error"),
-    )
-    return plain.unionByName(binary)
+    typed = raw.select("path", format_of(F.col("path"), F.col("content")).alias("format"), decode_text(F.col("content")).alias("raw"))
+    known, c = ~F.col("format").isin("docx", "xlsx", "pdf"), F.col("raw")
+    text = F.when(F.col("format") == "html", strip_html(c)).when(F.col("format") == "eml", mail_body(c)).when(F.col("format") == "csv", csv_text(c))
+    text = text.when(F.col("format") == "json", json_text(c)).otherwise(c)
+    return typed.select(
+        "path", "format", F.when(F.col("format") == "eml", mail_subject(c)).alias("title"), F.when(known, text).alias("text"),
+        F.when(~known, F.concat(F.lit("no reader for "), "format")).alias("error"),
+    )
 
 
 def split_documents(df: DataFrame, mark: str = r"(?im)^=+\s*DATASHEET\b.*$", text: str = "text") -> DataFrame:

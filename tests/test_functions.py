@@ -37,7 +37,10 @@ def test_text_functions(spark):
     assert value(spark, X.strip_html, html) == "T & U\n\n- one\n\n- two\n\na\nb"
     mail = "From: a\nSubject: Re: parts\n\nHello,\n> old\nnew line\n-- \nAnn"
     assert value(spark, X.mail_subject, mail) == "Re: parts" and value(spark, X.mail_body, mail) == "Hello,\nnew line"
-    assert value(spark, X.mend_identifiers, "bolt PRT-2O0l and NCR-7OO1, but TOOL-BOX Ole") == "bolt PRT-2001 and NCR-7001, but TOOL-BOX Ole"
+    assert value(spark, X.mend_scanned, "bolt PRT-2O0l of 2O25-0l-15 and NCR-7OO1, but TOOL-BOX Ole") == "bolt PRT-2001 of 2025-01-15 and NCR-7001, but TOOL-BOX Ole"
+    assert value(spark, X.resolve_entities, "a &lt; b &amp;lt; &#233;&#x20AC; &deg;C &bogus; & &#0; x") == "a < b &lt; é€ °C &bogus; & &#0; x"
+    assert value(spark, X.space_units, "1h30m at 5kW") == "1 h 30 m at 5 kW"
+    assert value(spark, X.name_phrases, "Blue Heron of the Old Mill Press Line and Blue Heron") == ["Blue Heron", "Old Mill Press Line"]
     assert value(spark, X.title_of, "\n\n  # Head \nrest") == "# Head" and value(spark, X.stem, "weeks") == "week"
     assert value(spark, X.without_citations, "It holds [KB-12] . Yes [NCR-3], so.") == "It holds. Yes, so."
     assert value(spark, KY.clean_key, " prt‑ 20 0​1 ") == "PRT-2001"
