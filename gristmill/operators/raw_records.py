@@ -226,7 +226,7 @@ def _any_date(c: Column) -> Column:
 
 
 def typed(parsed: DataFrame, file: str, files: dict[str, FileSpec] = FILES, strict: bool = True) -> DataFrame:
-    """The valid records of one file as typed columns, beside ``record_id`` and ``part``; empty text becomes null.
+    """The valid records of one file as typed columns, beside ``record_id`` and ``record_part``; empty text becomes null.
 
     With ``strict`` only texts that are exactly one record count, as in ``failed``; without, also the valid records of a text of
     several, those that reading found again after a broken quote among them.
@@ -242,4 +242,4 @@ def typed(parsed: DataFrame, file: str, files: dict[str, FileSpec] = FILES, stri
         typed_as.get(name, lambda c: F.nullif(c, F.lit("")))(_value(name, spec)).alias(name) for name in spec.columns
     ]
     rows = rows.filter("n_parts = 1") if strict else rows
-    return rows.select("record_id", "part", *columns)
+    return rows.select("record_id", F.col("part").alias("record_part"), *columns)

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gristmill.functions.text import has_term, tokens
+from gristmill.scratch import staged
 
 K1, B, RRF_K = 1.5, 0.75, 60
 QUERY_BLOCK_BYTES = 32 << 20
@@ -21,6 +22,21 @@ def top_k(scored: DataFrame, k: int, query: str = "query_id", key: str = "doc_id
     return scored.withColumn(score, F.round(score, 6)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def postings(docs: DataFrame, words: Column, terms: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(``doc, length, term, tf`` of the asked ``terms``, one row ``n, mean``): texts are taken apart once.
+
+    Each document also leaves a row without a term, from which their number and mean length come; so the texts are
+    read in one pass, whose result is written to the shared folder.
+    """
+    read = docs.select(F.col(key).alias("doc"), F.coalesce(words, F.array().cast("array<string>")).alias("words"))
+    mark = terms.sparkSession.createDataFrame([("",)], "term string")
+    asked = terms.select("term").distinct().unionByName(mark)
+    each = read.select("doc", F.size("words").alias("length"), F.explode(F.array_append("words", F.lit(""))).alias("term"))
+    kept = staged(each.join(asked, "term", "left_semi").groupBy("doc", "length", "term").agg(F.count("*").alias("tf")), "postings")
+    size = kept.filter("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("length") * F.col("tf")) / F.sum("tf")).alias("mean"))
+    return kept.filter("term <> ''"), size
+
+
 def bm25(queries: DataFrame, docs: DataFrame, words: Column, key: str = "doc_id") -> DataFrame:
     """``query_id, key, score`` of every document that shares a term with a query.
 
@@ -29,21 +45,14 @@ def bm25(queries: DataFrame, docs: DataFrame, words: Column, key: str = "doc_id"
     for the averages, null ones too. A query without known terms finds nothing.
     """
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    read = docs.select(F.col(key).alias("doc"), F.coalesce(words, F.array().cast("array<string>")).alias("words"))
-    n, mean = read.agg(F.count("*"), F.avg(F.size("words"))).first()
-    if not n or not mean:
-        n, mean = 0, 1.0
-    found = (
-        read.select("doc", F.size("words").alias("length"), F.explode("words").alias("term"))
-        .join(asked.select("term").distinct(), "term", "left_semi")
-        .groupBy("doc", "length", "term").agg(F.count("*").alias("tf"))
-    )
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(F.lit(1.0) + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (K1 + 1.0) / (F.col("tf") + K1 * (1.0 - B + B * F.col("length") / F.lit(float(mean))))
-    score = F.sum(F.col("times") * F.col("idf") * weight)
-    terms = asked.join(df, "term").withColumn("idf", idf)
-    return found.join(terms, "term").groupBy("query_id", F.col("doc").alias(key)).agg(score.alias("score")).filter("score > 0")
+    found, size = postings(docs, words, asked, key)
+    df, n = F.col("df"), F.col("n").cast("double")
+    idf = F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5))
+    terms = found.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(size))  # one row
+    weight = F.col("tf") * (K1 + 1.0) / (F.col("tf") + K1 * (1.0 - B + B * F.col("length") / F.col("mean")))
+    asked = asked.join(terms, "term").select("query_id", "term", "mean", (F.col("times") * idf).alias("gain"))
+    scored = found.join(asked, "term").groupBy("query_id", F.col("doc").alias(key)).agg(F.sum(F.col("gain") * weight).alias("score"))
+    return scored.filter("score > 0")
 
 
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding",

@@ -33,15 +33,15 @@ def p1_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_purchase_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_records.typed(_parsed(spark, sf_dir), "erp/purchase_orders.csv").drop("part")
+    return raw_records.typed(_parsed(spark, sf_dir), "erp/purchase_orders.csv").drop("record_part")
 
 
 def p1_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_records.typed(_parsed(spark, sf_dir), "erp/suppliers_master.csv").drop("part")
+    return raw_records.typed(_parsed(spark, sf_dir), "erp/suppliers_master.csv").drop("record_part")
 
 
 def p1_work_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_records.typed(_parsed(spark, sf_dir), "maintenance/cmms_export.csv").drop("part")
+    return raw_records.typed(_parsed(spark, sf_dir), "maintenance/cmms_export.csv").drop("record_part")
 
 
 def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,10 +26,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions whose number is divisible by 100."""
+    """Every question, each number once."""
     asked = table(spark, sf_dir, "questions").select("qid", "question")
     number = F.regexp_extract("qid", r"(\d+)", 1).try_cast("bigint")
-    return asked.filter(number % 100 == 0).groupBy(F.concat(F.lit("Q"), number).alias("query_id")).agg(F.min("question").alias("text"))
+    return asked.filter(number.isNotNull()).groupBy(F.concat(F.lit("Q"), number).alias("query_id")).agg(F.min("question").alias("text"))
 
 
 def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,10 +57,10 @@ def bm25_title_weighted(spark, sf_dir):
 
 
 def token_df_idf(spark, sf_dir):
-    docs = _documents(spark, sf_dir)
-    n = docs.count()
-    df = docs.select(F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return df.withColumn("idf", F.round(F.log(F.lit(1.0) + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6))
+    size = table(spark, sf_dir, "documents").agg(F.count("*").cast("double").alias("n"))
+    words = _documents(spark, sf_dir).select(F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
+    df = words.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(size))  # one row
+    return df.select("term", "df", F.round(F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
 
 
 def _vector_queries(spark, sf_dir):
@@ -212,7 +212,7 @@ def alias_resolve_flag(spark, sf_dir):
     s = table(spark, sf_dir, "suppliers_master").select(F.col("supplier_id").alias("id"), F.lower(F.trim("supplier_name")).alias("alias"))
     alias = s.filter("alias <> ''").groupBy("alias").agg(F.min("id").alias("alias_id"))
     known = s.select(F.lower("id").alias("alias"), "id").distinct()
-    po = table(spark, sf_dir, "purchase_orders").select("po", F.lower(F.trim("supplier")).alias("alias"))
+    po = table(spark, sf_dir, "purchase_orders").distinct().select("po", F.lower(F.trim("supplier")).alias("alias"))
     done = po.join(alias, "alias", "left").join(known, "alias", "left")
     kind = F.when(F.coalesce("alias", F.lit("")) == "", "empty").when(F.col("id").isNotNull(), "id").when(F.col("alias_id").isNotNull(), "alias").otherwise("unresolved")
     return done.groupBy(kind.alias("kind")).agg(F.count("*").alias("n_orders"), F.countDistinct("alias").alias("n_texts"))
@@ -397,11 +397,9 @@ def duplicate_ids(spark, sf_dir):
 
 def grouping_report(spark, sf_dir):
     q = table(spark, sf_dir, "questions").distinct()
-    q.createOrReplaceTempView("_questions_once")
-    return spark.sql(
-        "select category, difficulty, persona, count(*) as n, count_if(answerable) as n_answerable from _questions_once "
-        "group by grouping sets ((category), (difficulty), (persona), ())"
-    )
+    category, difficulty, persona = F.col("category"), F.col("difficulty"), F.col("persona")
+    sets = q.groupingSets([[category], [difficulty], [persona], []], category, difficulty, persona)
+    return sets.agg(F.count("*").alias("n"), F.count_if("answerable").alias("n_answerable"))
 
 
 def dedup_text(spark, sf_dir):

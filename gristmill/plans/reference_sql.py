@@ -7,11 +7,11 @@ from gristmill.plans.reference import CLASSES, LABELS
 _QUESTIONS = """
 questions_asked as (
   select 'Q' || n as query_id, min(question) as text from (select try_cast(regexp_extract(qid, '(\\d+)', 1) as bigint) as n, question from questions)
-  where n % 100 = 0 group by n
+  where n is not null group by n
 )
 """
 _TOKENS = r"regexp_extract_all(lower({0}), '[a-z0-9][a-z0-9\-]+')"
-_CODES = r"regexp_extract_all({0}, '\b[A-Z]{{2,4}}-\d{{2,9}}\b')"
+_CODES = r"regexp_extract_all({0}, '\b[A-Z]{{2,4}}-\d{{2,9}}(?:-v\d+)?\b')"
 
 
 def _bm25(name: str, queries: str, words: str) -> str:
@@ -38,8 +38,13 @@ _BM25 = f"with {_QUESTIONS}, {_bm25('b', 'questions_asked', _TEXT_WORDS)}"
 _TITLES = "titles as (select doc_id as query_id, title as text from documents where doc_id % 100 = 0)"
 _TITLE = _TOKENS.format("coalesce(title, '')")
 _MENTIONS = f"mentions as (select doc_id, code, count(*) as n from (select doc_id, unnest({_CODES.format('text')}) as code from documents) group by all)"
-_GOLD = f"""{_MENTIONS},
-gold as (select distinct query_id, doc_id from (select query_id, unnest({_CODES.format('text')}) as code from questions_asked) join mentions using (code))"""
+_LABELLED = f"""
+labels as (
+  select distinct a.query_id, coalesce(q.answerable, true) as answerable, q.gold_doc_ids
+  from questions_asked a join (select 'Q' || try_cast(regexp_extract(qid, '(\\d+)', 1) as bigint) as query_id, * from questions) q
+    on a.query_id = q.query_id and a.text is not distinct from q.question
+),
+gold as (select distinct query_id, {_CLEAN.format('code')} as code from (select query_id, unnest(gold_doc_ids) as code from labels where answerable) where {_CLEAN.format('code')} <> '')"""
 _HAS = "contains(' ' || replace(regexp_replace(lower({0}), '[^a-z0-9-]+', ' ', 'g'), '-', ' ') || ' ', ' ' || replace({1}, '-', ' ') || ' ')"
 _PRESENT = "case when trim({0}) <> '' and upper(trim({0})) not in ('MISSING', 'N/A', '-') then trim({0}) end"
 _VECTORS = """
@@ -57,6 +62,10 @@ edges as (
 links as (select src, dst from edges union select dst, src from edges)
 """
 
+# The header's name in Latin, full-width, Cyrillic and Greek letters, with invisible characters anywhere.
+_SUBJECT = r"(\n\p{Cf}*" + r"\p{Cf}*".join(
+    "[" + letters + "]" for letters in ("SsＳｓЅѕ", "UuＵｕ", "BbＢｂВΒ", "JjＪｊЈјϳ", "EeＥｅЕеΕ", "CcＣｃСсϹϲ", "TtＴｔТΤ")) + r"[\p{Cf}\p{Zs}]*[:：]) *([^\n]*)"
+
 SQL = {
     "bm25_topk": f"with {_TITLES}, {_bm25('b', 'titles', _TEXT_WORDS)} {_top('b_scores', 10)}",
     "bm25_title_weighted": f"with {_TITLES}, {_bm25('b', 'titles', f'{_TITLE} || {_TITLE} || {_TITLE} || ' + _TEXT_WORDS)} {_top('b_scores', 10)}",
@@ -99,15 +108,16 @@ terms as (
 seen as (select query_id, term, max({_HAS.format('text', 'term')}::int) as seen from terms join found using (query_id) join documents using (doc_id) group by all)
 select query_id, count(*) as n_terms, cast(sum(seen) as bigint) as n_present, round(avg(seen), 6) as covered, round(avg(seen), 6) >= 0.34 as enough from seen group by query_id""",
     "retrieval_quality": f"""
-{_BM25}, {_GOLD}, ranked as ({_top('b_scores', 10)}),
+{_BM25}, {_LABELLED}, ranked as ({_top('b_scores', 10)}),
+found as (select query_id, {_CLEAN.format('doc_code')} as code, min(rank) as rank from ranked join documents using (doc_id) group by all),
 per as (select query_id, count(*) as n_gold, min(rank) as first, count(*) filter (rank <= 1) as i1, count(*) filter (rank <= 3) as i3,
-  count(*) filter (rank <= 5) as i5, count(*) filter (rank <= 10) as i10 from gold left join ranked using (query_id, doc_id) group by query_id)
+  count(*) filter (rank <= 5) as i5, count(*) filter (rank <= 10) as i10 from gold left join found using (query_id, code) group by query_id)
 select count(*) as n_queries, round(avg((i1 = n_gold)::int), 6) as recall_at_1, round(avg((i3 = n_gold)::int), 6) as recall_at_3,
   round(avg((i5 = n_gold)::int), 6) as recall_at_5, round(avg((i10 = n_gold)::int), 6) as recall_at_10, round(avg(coalesce(1.0::double / first, 0)), 6) as mrr from per""",
     "abstention": f"""
-{_BM25}, {_GOLD}, best as (select query_id, max(round(score, 6)) as score from b_scores group by query_id)
-select query_id in (select query_id from gold) as has_gold, count(*) as n_queries, count(*) filter (coalesce(score, 0) >= 20) as n_answered
-from questions_asked left join best using (query_id) group by 1""",
+{_BM25}, {_LABELLED}, best as (select query_id, max(round(score, 6)) as score from b_scores group by query_id),
+asked as (select query_id, max(answerable) as answerable from labels group by query_id)
+select answerable, count(*) as n_queries, count(*) filter (coalesce(score, 0) >= 20) as n_answered from asked left join best using (query_id) group by 1""",
     "fact_recovery": f"""
 with facts as (select distinct source_file, maps_to_doc_ids, unnest(key_facts) as fact from ingestion_manifest),
 wanted as (select source_file, fact, regexp_extract(fact, '=(\\d+)', 1) as number, unnest(case when len(maps_to_doc_ids) > 0 then maps_to_doc_ids else [null] end) as code from facts),
@@ -129,12 +139,14 @@ b as (select doc_id, regexp_replace(regexp_replace(regexp_replace(t, '(?i)<li\b[
 c as (select doc_id, replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') as t from b),
 e as (select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') as t from c)
 select doc_id, md5(t) as plain_md5, cast(length(t) as int) as n_plain from e""",
-    "mail_parts": r"""
-with d as (select doc_id, text, case when contains(text, chr(10) || chr(10)) then substr(text, instr(text, chr(10) || chr(10)) + 2) else '' end as body from documents where text like 'Subject:%'),
+    "mail_parts": rf"""
+with d as (select doc_id, text, case when contains(text, chr(10) || chr(10)) then substr(text, instr(text, chr(10) || chr(10)) + 2) else '' end as body,
+  regexp_extract(chr(10) || split_part(text, chr(10) || chr(10), 1), '{_SUBJECT}', ['whole', 'subject']) as h from documents where doc_type = 'email'),
 l as (select doc_id, string_split(body, chr(10)) as l from d),
 k as (select doc_id, list_filter(case when list_position(list_transform(l, lambda x: rtrim(x, ' ') = '--'), true) > 0 then l[1:list_position(list_transform(l, lambda x: rtrim(x, ' ') = '--'), true) - 1] else l end,
   lambda x: not x like '>%') as l from l)
-select doc_id, regexp_extract(text, '^Subject: *([^\n]*)', 1) as subject, md5(trim(regexp_replace(array_to_string(l, chr(10)), '\n+$', ''), ' ')) as body_md5 from d join k using (doc_id)""",
+select doc_id, case when h.whole <> '' then h.subject end as subject, case when text is not null then md5(trim(regexp_replace(array_to_string(l, chr(10)), '\n+$', ''), ' ')) end as body_md5
+from d join k using (doc_id)""",
     "slug_ids": """
 with b as (select p_partkey, 'ING-' || substr(upper(regexp_replace(regexp_replace(p_name, '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')), 1, 48) as base from part),
 n as (select *, row_number() over (partition by base order by p_partkey) as n from b)
@@ -146,10 +158,10 @@ aliases as (select id, lower(name) as alias from s union all select id, lower(ar
 sole as (select alias, min(id) as id, trim(regexp_replace(alias, '[^\pL\pN]+', ' ', 'g')) as run from aliases where length(alias) >= 4 group by alias having count(distinct id) = 1),
 d as (select doc_id, ' ' || regexp_replace(lower(text), '[^\pL\pN]+', ' ', 'g') || ' ' as t from documents)
 select id, count(distinct doc_id) as n_documents from sole join d on contains(t, ' ' || run || ' ')
-where len(string_split(run, ' ')) <= 6 and run <> '' group by id""",
+where run <> '' group by id""",
     "alias_resolve_flag": """
 with s as (select supplier_id as id, lower(trim(supplier_name)) as alias from suppliers_master),
-po as (select lower(trim(supplier)) as alias from purchase_orders)
+po as (select lower(trim(supplier)) as alias from (select distinct * from purchase_orders))
 select case when coalesce(alias, '') = '' then 'empty' when alias in (select lower(id) from s) then 'id' when alias in (select alias from s where alias <> '') then 'alias' else 'unresolved' end as kind,
   count(*) as n_orders, count(distinct alias) as n_texts from po group by 1""",
     "point_lookup": "select s_suppkey, s_name, s_nationkey, s_acctbal from supplier where s_suppkey = 7",
@@ -229,7 +241,9 @@ with {_MENTIONS}
 select split_part(code, '-', 1) as prefix, 'dst' as missing, count(*) as n_edges from mentions where code not in (select doc_code from documents) group by 1""",
     "edge_from_rows": f"""
 with b as (select distinct part_id, description, used_on, supplier from bom_parts),
-e as (select distinct part_id, upper(rel) as rel, dst from (select part_id, rel, unnest({_CODES.format('t')}) as dst from (unpivot b on description, used_on, supplier into name rel value t)) where dst <> part_id)
+t as (select {_CLEAN.format('part_id')} as src, upper(rel) as rel, upper(regexp_replace(regexp_replace(t, '[\\x{{200b}}\\x{{2060}}\\x{{feff}}]', '', 'g'), '[\\p{{Pd}}−\\x{{00ad}}]', '-', 'g')) as t
+  from (unpivot b on description, used_on, supplier into name rel value t)),
+e as (select distinct src, rel, dst from (select src, rel, unnest({_CODES.format('t')}) as dst from t) where dst <> src)
 select rel, count(*) as n_edges, count(distinct dst) as n_targets from e group by rel""",
     "set_diff": f"select {_CLEAN.format('part_id')} as part from bom_parts except select {_CLEAN.format('part')} from purchase_orders",
     "duplicate_ids": f"select {_CLEAN.format('supplier_id')} as supplier_id, count(*) as n_rows from (select distinct * from suppliers_master) group by 1 having count(*) > 1",

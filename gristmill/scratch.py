@@ -49,7 +49,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     for every core and are never shuffled by this.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores, key) if size < cores * SPREAD_BYTES else df
 
 
