@@ -1,17 +1,18 @@
 """Evaluation texts leaking into training text: windows of test words looked up in a broadcast set.
 
-Test items are few, and their size is checked before they are broadcast: the hash set of their
+Test items are few, and the size of what every task holds for them is checked before they are broadcast: the hash set of their
 normalised word n-grams goes to every task, training texts are scanned window by window, hits are
-verified word by word and joined into spans. Larger test sets take the other way, a join on
-128-bit digests of the windows.
+verified word by word and joined into spans. Larger test sets take the other way: a bitmap of their n-grams, of fixed size,
+goes to every task, and the few windows that it lets pass are joined to the n-grams word by word.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -19,7 +20,9 @@ from gristmill.llm.lookalikes import judge_token, mixed_tokens, plain, repair, s
 from gristmill.scratch import staged
 
 WINDOW = 13
-BROADCAST_BYTES = 64 << 20  # of item text
+INDEX_BYTES = 64 << 20  # of memory that the index of all items may take in a task
+BYTES_PER_WORD = 300  # of that for each word of the items: a window of word numbers, its entry and the words themselves
+BITS = 1 << 27  # of the bitmap of n-grams: 16 MB
 
 _WORD = re.compile(r"[^\W_]+")
 SPANS = "array<struct<item_id:bigint,start:int,end:int>>"
@@ -92,18 +95,19 @@ class ItemIndex:
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, n: int = WINDOW, key: str = "doc_id", text: str = "text",
-               broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+               index_bytes: int = INDEX_BYTES) -> DataFrame:
     """``key, normal_text, spans`` of the documents that share ``n`` or more consecutive words with an item.
 
     ``items`` has ``item_id, item_text``. Words are compared by their looks (see ``lookalikes``);
     ``spans`` are places in the normal form, by characters. Null texts and texts of fewer words share
     nothing; a repeated document is reported as often as it comes, a repeated item once. Texts are
-    scanned whole, and only the named columns are read.
+    scanned whole, and only the named columns are read. Both ways, by the size of the items, give the same rows.
     """
     items = items.filter("item_text is not null").select(F.col("item_id").cast("bigint"), "item_text").distinct()
     slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("text is not null")
-    size = items.select(F.coalesce(F.sum(F.octet_length("item_text")), F.lit(0)).alias("bytes")).first()["bytes"]
-    found = _scan(slim, items, n) if size <= broadcast_bytes else _join(slim, items, n)
+    words = F.regexp_count("item_text", F.lit(r"[\p{L}\p{N}]+"))
+    size = items.select(F.coalesce(F.sum(words), F.lit(0)).alias("words")).first()["words"]
+    found = _scan(slim, items, n) if size * BYTES_PER_WORD <= index_bytes else _join(slim, items, n)
     return found.withColumnRenamed("key", key)
 
 
@@ -126,18 +130,39 @@ def _scan(slim: DataFrame, items: DataFrame, n: int) -> DataFrame:
     return slim.mapInPandas(scan, f"key {key_type}, normal_text string, spans {SPANS}")
 
 
-def _windows(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
+def _windows(df: DataFrame, key: str, text: str, n: int, bits: np.ndarray | None = None) -> DataFrame:
+    """``key, at, gram``: the windows of ``n`` words, where ``bits`` are given those whose bit is set."""
     key_type = df.schema[key].dataType.simpleString()
+    shared = df.sparkSession.sparkContext.broadcast(bits) if bits is not None else None
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for k, t in zip(batch[key], batch[text]):
                 words = words_of(shape_of(plain(t)))
-                rows += [(k, j, hashlib.md5(" ".join(words[j : j + n]).encode()).digest()) for j in range(len(words) - n + 1)]
+                grams = [" ".join(words[j : j + n]) for j in range(len(words) - n + 1)]
+                if shared is not None and grams:
+                    places = np.fromiter((zlib.crc32(g.encode("utf-8", "replace")) for g in grams), dtype="int64", count=len(grams)) % BITS
+                    passed = np.flatnonzero((shared.value[places >> 3] >> (places & 7)) & 1)
+                    rows += [(k, int(j), grams[j]) for j in passed]
+                else:
+                    rows += [(k, j, g) for j, g in enumerate(grams)]
             yield pd.DataFrame(rows, columns=["key", "at", "gram"])
 
-    return df.select(key, text).mapInPandas(cut, f"key {key_type}, at int, gram binary")
+    return df.select(key, text).mapInPandas(cut, f"key {key_type}, at int, gram string")
+
+
+def _bitmap(grams: DataFrame) -> np.ndarray:
+    """A bit for each n-gram, by its checksum; of fixed size however many there are."""
+    place = F.crc32(F.encode("gram", "UTF-8")) % BITS + 1
+    parts = grams.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit")).groupBy("bucket").agg(
+        F.bitmap_construct_agg("bit").alias("bits")
+    )
+    out = np.zeros(BITS // 8, dtype="uint8")
+    for r in parts.toLocalIterator():
+        part = np.frombuffer(r["bits"], dtype="uint8")
+        out[(r["bucket"] - 1) * len(part) : r["bucket"] * len(part)] = part
+    return out
 
 
 def _known(texts: DataFrame, items: DataFrame) -> DataFrame:
@@ -158,11 +183,11 @@ def _known(texts: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def _join(slim: DataFrame, items: DataFrame, n: int) -> DataFrame:
-    """For test sets too large to broadcast."""
+    """For test sets too large to broadcast: the windows that the bitmap lets pass meet the items' n-grams by their words."""
     key_type = slim.schema["key"].dataType.simpleString()
-    grams = _windows(items, "item_id", "item_text", n).select(F.col("key").alias("item_id"), "gram").distinct()
+    grams = staged(_windows(items, "item_id", "item_text", n).select(F.col("key").alias("item_id"), "gram").distinct(), "grams")
     hits = (
-        _windows(slim, "key", "text", n).join(grams, "gram").groupBy("key", "item_id")
+        _windows(slim, "key", "text", n, _bitmap(grams)).join(grams, "gram").groupBy("key", "item_id")
         .agg(F.collect_set("at").alias("at")).groupBy("key").agg(F.collect_list(F.struct("item_id", "at")).alias("hits"))
     )
 

@@ -251,3 +251,14 @@ def look_alike_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     one = rows.withColumnRenamed(key, "_one").join(differ, ["look", "stored"]).select("look", "_one", F.col("other").alias("stored"))
     both = one.join(rows.withColumnRenamed(key, "_two"), ["look", "stored"])
     return both.filter("_one <> _two").select(F.least("_one", "_two").alias(f"{key}_a"), F.greatest("_one", "_two").alias(f"{key}_b")).distinct()
+
+
+def look_alike_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, class_id, n_kinds, n_documents``: each row whose look is that of a different stored text, with the smallest key of its class.
+
+    Equal rows count once; rows without a text or key are in no class. Copies alone make no class.
+    """
+    rows = staged(unify(docs, key, text, with_text=False).filter(f"look is not null and {key} is not null").distinct(), "looks")
+    per_kind = rows.groupBy("look", "stored").agg(F.min(key).alias("first"), F.count("*").alias("n"))
+    classes = per_kind.groupBy("look").agg(F.min("first").alias("class_id"), F.count("*").alias("n_kinds"), F.sum("n").alias("n_documents")).filter("n_kinds > 1")
+    return rows.join(classes, "look").select(key, "class_id", "n_kinds", "n_documents")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -21,7 +22,7 @@ from gristmill.scratch import staged
 
 #: The pattern by which the rank vocabulary splits text before its merges (a fixed value).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BUCKET_BITS = 12
+BUCKET_ROWS = 1000  # documents of a source that are put in order together, about
 MAX_PATTERNS = 20_000
 
 
@@ -52,23 +53,38 @@ def with_tokens(docs: DataFrame, text: str, ranks_file: str, column: str = "n_to
 
 @dataclass
 class _Arc:
+    """An arc of convex cost: its first ``unit`` costs ``cost``, each further one, up to ``units``, one more."""
+
     to: int
-    room: int
-    cost: int
-    back: int
+    unit: int
+    units: int
+    cost: int = 0
+    used: int = 0
+
+    def forth(self) -> tuple[int, int]:
+        """(room, cost) of the unit that is being used."""
+        k = self.used // self.unit
+        return ((k + 1) * self.unit - self.used, self.cost + k) if k < self.units else (0, 0)
+
+    def back(self) -> tuple[int, int]:
+        """(room, cost) of taking back from the unit used last."""
+        if not self.used:
+            return 0, 0
+        k = (self.used - 1) // self.unit
+        return self.used - k * self.unit, -(self.cost + k)
 
 
 class _Flow:
     """Min-cost flow by successive shortest paths, over patterns and sources (small by construction)."""
 
     def __init__(self, n: int):
-        self.arcs: list[list[_Arc]] = [[] for _ in range(n)]
+        self.arcs: list[list[tuple[_Arc, bool, int]]] = [[] for _ in range(n)]
 
-    def arc(self, a: int, b: int, room: int, cost: int) -> _Arc:
-        forth = _Arc(b, room, cost, len(self.arcs[b]))
-        self.arcs[a].append(forth)
-        self.arcs[b].append(_Arc(a, 0, -cost, len(self.arcs[a]) - 1))
-        return forth
+    def arc(self, a: int, b: int, unit: int, units: int = 1) -> _Arc:
+        arc = _Arc(b, max(unit, 1), units if unit else 0)
+        self.arcs[a].append((arc, True, b))
+        self.arcs[b].append((arc, False, a))
+        return arc
 
     def run(self, start: int, end: int) -> None:
         height = [0] * len(self.arcs)
@@ -79,46 +95,48 @@ class _Flow:
                 d, a = heapq.heappop(queue)
                 if d > far[a]:
                     continue
-                for k, arc in enumerate(self.arcs[a]):
-                    if arc.room and (cost := d + arc.cost + height[a] - height[arc.to]) < far[arc.to]:
-                        far[arc.to], via[arc.to] = cost, (a, k)
-                        heapq.heappush(queue, (cost, arc.to))
+                for arc, forth, to in self.arcs[a]:
+                    room, step = arc.forth() if forth else arc.back()
+                    if room and (cost := d + step + height[a] - height[to]) < far[to]:
+                        far[to], via[to] = cost, (a, arc, forth, room)
+                        heapq.heappush(queue, (cost, to))
             if far[end] == float("inf"):
                 return
             height = [h + f if f < float("inf") else h for h, f in zip(height, far)]
             path, at = [], end
             while at != start:
-                a, k = via[at]
-                path.append(self.arcs[a][k])
+                a, arc, forth, room = via[at]
+                path.append((arc, forth, room))
                 at = a
-            room = min(arc.room for arc in path)
-            for arc in path:
-                arc.room -= room
-                self.arcs[arc.to][arc.back].room += room
+            room = min(r for _, _, r in path)
+            for arc, forth, _ in path:
+                arc.used += room if forth else -room
 
 
 def route(patterns: list[tuple[tuple[str, ...], int]], targets: list[tuple[str, float, int]]) -> tuple[dict[str, int], dict[tuple[tuple[str, ...], str], int]]:
     """(quota of each source, tokens each pattern gives to each source).
 
     ``patterns`` are (sources, tokens), ``targets`` (source, share, most repeats). The total is that
-    of all patterns with a named source; a source that cannot fill its quota falls short of it.
+    of all patterns with a named source; a source that cannot fill its quota falls short of it. One arc of convex cost
+    joins a pattern to a source, however often it may repeat.
     """
     caps = {s: (share, most) for s, share, most in targets}
     live = [(p, t) for p, t in patterns if t and any(s in caps for s in p)]
     total = sum(t for _, t in live)
     quota = {s: round(share * total) for s, (share, _) in caps.items()}
     names = sorted(quota)
+    place = {s: 2 + len(live) + j for j, s in enumerate(names)}
     flow = _Flow(2 + len(live) + len(names))
-    given: dict[tuple[tuple[str, ...], str], list[tuple[_Arc, int]]] = {}
+    given: dict[tuple[tuple[str, ...], str], _Arc] = {}
     for i, (p, tokens) in enumerate(live):
-        flow.arc(0, 2 + i, tokens * sum(caps[s][1] for s in p if s in caps), 0)
+        flow.arc(0, 2 + i, tokens * sum(caps[s][1] for s in p if s in caps))
         for s in p:
             if s in caps:
-                given[p, s] = [(flow.arc(2 + i, 2 + len(live) + names.index(s), tokens, k), tokens) for k in range(caps[s][1])]
-    for j, s in enumerate(names):
-        flow.arc(2 + len(live) + j, 1, quota[s], 0)
+                given[p, s] = flow.arc(2 + i, place[s], tokens, caps[s][1])
+    for s in names:
+        flow.arc(place[s], 1, quota[s])
     flow.run(0, 1)
-    return quota, {key: sum(room - arc.room for arc, room in arcs) for key, arcs in given.items()}
+    return quota, {key: arc.used for key, arc in given.items()}
 
 
 def _named_only(sources: Column, targets: DataFrame) -> Column:
@@ -169,9 +187,8 @@ def mix(docs: DataFrame, targets: DataFrame, *, key: str = "doc_id", text: str =
     tokens = staged(with_tokens(slim, "text", ranks_file).select("key", "n_tokens", _named_only(F.col("sources"), targets).alias("pattern")), "tokens")
     plan = plan_mix(tokens.withColumnRenamed("pattern", "sources"), targets)
     offered = tokens.withColumn("source", F.explode("pattern")).join(F.broadcast(plan.filter("tokens > 0").drop("tokens")), ["pattern", "source"])
-    drawn = offered.withColumn("draw", F.xxhash64(F.lit(seed), "source", "key")).withColumn(
-        "bucket", F.shiftright("draw", 64 - BUCKET_BITS)
-    )
+    bits = max(12, math.ceil(math.log2(max(tokens.count(), 1) / BUCKET_ROWS)))
+    drawn = offered.withColumn("draw", F.xxhash64(F.lit(seed), "source", "key")).withColumn("bucket", F.shiftright("draw", 64 - bits))
     group = ["pattern", "source"]
     sums = drawn.groupBy(*group, "bucket").agg(F.sum("n_tokens").alias("in_bucket"))
     before = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -58,9 +58,13 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.look_alike_pairs(_documents(spark, sf_dir))
 
 
+def p9_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.look_alike_classes(_documents(spark, sf_dir))
+
+
 def p9_normal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = lookalikes.unify(_documents(spark, sf_dir))
     return done.select("doc_id", "normal_text", "look")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p7_found, p7_items, p7_cleaned, p8_mix, p8_report, p9_found, p9_normal_texts)}
+QUERIES = {f.__name__: f for f in (p5_found, p7_found, p7_items, p7_cleaned, p8_mix, p8_report, p9_found, p9_classes, p9_normal_texts)}

@@ -49,3 +49,7 @@ select a.doc_id as doc_id_a, b.doc_id as doc_id_b from d a join d b on a.look =
 SQL["p7_items"] = f"""
 with found as ({SQL['p7_found']})
 select item_id, count(doc_id) as n_documents from (select distinct item_id from eval_items) left join found using (item_id) group by item_id"""
+SQL["p9_classes"] = f"""
+with d as (select doc_id, text, {looks('text')} as look from documents where text is not null),
+k as (select look, min(doc_id) as class_id, count(distinct text) as n_kinds, count(*) as n_documents from d group by look having count(distinct text) > 1)
+select doc_id, class_id, n_kinds, n_documents from d join k using (look)"""

@@ -48,7 +48,7 @@ def test_both_ways_against_brute_force(spark):
     d, i = frames(spark)
     for n in (13, 5):
         assert rows(K.leaked_pairs(K.find_leaks(d, i, n))) == brute(n)
-        assert rows(K.leaked_pairs(K.find_leaks(d, i, n, broadcast_bytes=0))) == brute(n)
+        assert rows(K.leaked_pairs(K.find_leaks(d, i, n, index_bytes=0))) == brute(n)
     assert rows(K.leaked_pairs(K.find_leaks(d.limit(0), i))) == set() == rows(K.leaked_pairs(K.find_leaks(d, i.limit(0))))
 
 

@@ -15,6 +15,6 @@ def test_both_ways_write_the_same_text(spark):
     docs = spark.createDataFrame([*enumerate(texts), (1, texts[1])], "doc_id long, text string")
     items = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item[3:]))], "item_id long, item_text string")
     plain = lambda df: {(r["doc_id"], r["normal_text"], tuple(sorted(map(tuple, r["spans"])))) for r in df.collect()}
-    scanned, joined = (K.find_leaks(docs, items, broadcast_bytes=b) for b in (1 << 20, 0))
+    scanned, joined = (K.find_leaks(docs, items, index_bytes=b) for b in (1 << 20, 0))
     assert plain(joined) == plain(scanned) and {k for k, _, _ in plain(joined)} == {0, 1} and joined.count() == 3
     assert rows(K.without_spans(joined)) == rows(K.without_spans(scanned))
