@@ -340,11 +340,14 @@ def _words(parsed: DataFrame) -> DataFrame:
     return parsed.select("name", F.posexplode("own").alias("place", "forms")).select("name", "place", F.explode("forms").alias("word"))
 
 
+def _short_for(a: Column, b: Column) -> Column:
+    """Whether ``a`` is made of the first and some other letters of ``b`` in their order."""
+    return (F.length(a) < F.length(b)) & F.rlike(b, F.concat(F.lit("^"), F.regexp_replace(a, "(.)", "$1.*")))
+
+
 def _agree(a: Column, b: Column) -> Column:
-    """Leading words agree if equal, if one is missing, or if one is short for the other (its initial or some of its letters)."""
-    letters = lambda x: F.concat(F.lit("^"), F.regexp_replace(x, "(.)", "$1.*"))
-    short = F.when(F.length(a) < F.length(b), F.rlike(b, letters(a))).otherwise(F.rlike(a, letters(b)))
-    return F.coalesce((a == b) | short, F.lit(True))
+    """Leading words agree if equal, if one is missing, or if one is short for the other."""
+    return F.coalesce((a == b) | _short_for(a, b) | _short_for(b, a), F.lit(True))
 
 
 PROFILE = ("words", "trade", "leading", "legal")
@@ -359,7 +362,8 @@ def match_profiles(spelled: DataFrame, known: DataFrame) -> DataFrame:
     """``name, words, trade, leading, legal, edits, odds, lacks, own_profile``: what each spelling may stand for.
 
     Both are ``profiles``. Names meet word by word: a spelling stands for known own words if each of them
-    has a near word at a place of its own, and no place is left over but one that takes the part of a leading word. ``odds``
+    has a near word at a place of its own, and no place is left over but one that takes the part of a leading word, or is
+    short for the one word that has none. ``odds``
     counts disagreements of legal form and leading word, ``lacks`` those that the known name does not state. A spelling without a trade may stand for any.
     """
     forms = known.select(F.explode("own").alias("f")).select(F.explode("f").alias("form"), F.col("f")[0].alias("known")).distinct()
@@ -370,12 +374,18 @@ def match_profiles(spelled: DataFrame, known: DataFrame) -> DataFrame:
     met = placed.join(index, "known").groupBy("name", "words", "n_known").agg(F.collect_set(F.struct("known", "edits", "place")).alias("pairs"))
     of_word = lambda w: F.array_min(F.transform(F.filter("pairs", lambda p: p["known"] == w), lambda p: p["edits"]))
     met = met.withColumn("held", F.array_distinct("pairs.known")).withColumn("places", F.array_distinct("pairs.place")).filter(
-        (F.size("held") == F.col("n_known")) & (F.size("places") == F.col("n_known")))
-    met = met.select("name", "words", "n_known", "places", F.aggregate("held", F.lit(0), lambda sum, w: sum + of_word(w)).alias("edits"))
+        (F.size("places") == F.size("held")) & (F.size("held") >= F.col("n_known") - 1))
+    met = met.select("name", "words", "n_known", "places", "held", F.aggregate("held", F.lit(0), lambda sum, w: sum + of_word(w)).alias("edits"))
     own = spelled.select("name", "n_own", "own", F.col("words").alias("s_words"), *[F.col(c).alias(f"s_{c}") for c in PROFILE[1:]])
     met = met.join(own, "name").filter((F.col("n_own") == F.col("n_known")) | (F.col("n_own") == F.col("n_known") + 1) & F.col("s_leading").isNull())
     left = F.array_except(F.sequence(F.lit(0), F.col("n_own") - 1), F.col("places"))
-    met = met.withColumn("left", F.when(F.col("n_own") > F.col("n_known"), F.element_at(F.col("own"), left[0] + 1)[0]))
+    met = met.withColumn("left", F.when(F.col("n_own") > F.size("held"), F.element_at(F.col("own"), left[0] + 1)[0]))
+    # a word that lacks: what is left over may be short for it
+    lacking = F.array_except(F.split("words", " "), "held")[0]
+    short = (F.col("n_own") == F.col("n_known")) & (F.length("left") >= 3) & _short_for(F.col("left"), lacking)
+    met = met.filter((F.size("held") == F.col("n_known")) | short)
+    met = met.withColumn("edits", F.col("edits") + (F.size("held") < F.col("n_known")).cast("int")).withColumn(
+        "left", F.when(F.col("n_own") > F.col("n_known"), F.col("left")))
     known = known.select(*PROFILE).distinct()
     met = met.join(known, "words").filter(F.col("s_trade").isNull() | F.col("s_trade").eqNullSafe(F.col("trade")))
     met = met.filter(F.col("left").isNull() | F.col("leading").isNotNull())
