@@ -277,6 +277,11 @@ def shards_asked(word: str) -> set[str]:
     return out
 
 
+def _spread_once(df: DataFrame, column: str) -> DataFrame:
+    """The distinct values of a column in a fixed number of tasks: the work per row counts, not the bytes by which small tasks are merged."""
+    return df.select(column).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), column).distinct()
+
+
 SHARD_ROWS = 20_000  # spelled words of a shard that one task walks
 
 
@@ -294,8 +299,8 @@ def near_words(spelled: DataFrame, known: DataFrame, shard_rows: int = SHARD_ROW
 
         return rows
 
-    asked = spelled.select("word").distinct().mapInPandas(put(shards_asked), "word string, shard string")
-    held = known.select("word").distinct().mapInPandas(put(shards_held), "word string, shard string")
+    asked = _spread_once(spelled, "word").mapInPandas(put(shards_asked), "word string, shard string")
+    held = _spread_once(known, "word").mapInPandas(put(shards_held), "word string, shard string")
     blocks = asked.groupBy("shard").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("blocks"))
     held = held.join(blocks, "shard").select("word", "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("held"))
     large = blocks.filter("blocks > 1")
@@ -317,7 +322,6 @@ def near_words(spelled: DataFrame, known: DataFrame, shard_rows: int = SHARD_ROW
                     rows += [(word, k, n) for k, n in walk(trie, word, edits).items()]
             yield pd.DataFrame(rows, columns=["word", "known", "edits"])
 
-    # a fixed number of tasks: the work is in the walks, not in the bytes by which small tasks are merged
     n = int(spelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = held.unionByName(asked).repartition(n, "shard", "block").sortWithinPartitions("shard", "block", F.desc("held"))
     return both.mapInPandas(join, "word string, known string, edits int").distinct()
@@ -333,7 +337,7 @@ def parsed_names(names: DataFrame, shared: Shared) -> DataFrame:
                                columns=["name", "n_own", "own", "trade", "leading", "legal"])
 
     parsed = "name string, n_own int, own array<array<string>>, trade string, leading string, legal string"
-    return names.select("name").distinct().mapInPandas(read, parsed)
+    return _spread_once(names, "name").mapInPandas(read, parsed)
 
 
 def _words(parsed: DataFrame) -> DataFrame:
