@@ -109,10 +109,24 @@ def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield ready
 
 
+def _group_numbers(rows: pd.DataFrame) -> np.ndarray:
+    g = rows["g"].to_numpy()
+    return np.concatenate([[0], np.cumsum(g[1:] != g[:-1])])
+
+
+def _group_medians(values: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The median of each group's values but for NaN, which a group without any has."""
+    if not len(group):
+        return np.zeros(0)
+    edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    held = values[np.lexsort((values, group))]  # NaN comes last
+    n = np.add.reduceat(~np.isnan(values), edges)
+    return (held[edges + np.maximum(n - 1, 0) // 2] + held[np.minimum(edges + n // 2, len(held) - 1)]) / 2 * np.where(n, 1.0, np.nan)
+
+
 def _per_metric(rows: pd.DataFrame, n: int, run: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each metric: number, places of its values, impossible, stuck, places of the sound ones and their group."""
-    g = rows["g"].to_numpy()
-    group = np.concatenate([[0], np.cumsum(g[1:] != g[:-1])])
+    group = _group_numbers(rows)
     full = rows["full"].to_numpy("float64")
     for k in range(n):
         v = rows[f"m{k}"].to_numpy("float64")
@@ -125,7 +139,7 @@ def _per_metric(rows: pd.DataFrame, n: int, run: int) -> Iterator[tuple[int, np.
 
 
 def _numbered(rows: DataFrame, metrics: int) -> DataFrame:
-    """``rows`` (each once) beside ``pos`` within their source and its ``full`` scale."""
+    """``rows`` (each once) beside ``pos`` within their source, its number of rows (``of``) and its ``full`` scale."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     day = F.datediff("day", F.lit("1970-01-01").cast("date"))
     rows = rows.withColumn("span", F.coalesce(F.floor(day / SPAN), F.lit(-(1 << 40)))).repartition(n, "src", "span").distinct()
@@ -143,9 +157,9 @@ def _numbered(rows: DataFrame, metrics: int) -> DataFrame:
     whole = Window.partitionBy("src")
     n_all, above = F.sum("n").over(whole), F.sum("above").over(whole)
     percent = (above * 2 > n_all) | (above * 2 == n_all) & (n_all > 0) & (F.max("low").over(whole) + F.min("high").over(whole) > 3.0)
-    starts = spans.select("src", "span", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"), F.when(percent, 100.0).otherwise(1.0).alias("full"))
+    starts = spans.select("src", "span", F.sum("rows").over(whole).alias("of"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"), F.when(percent, 100.0).otherwise(1.0).alias("full"))
     placed = rows.withColumn("n", F.row_number().over(order)).join(starts, ["src", "span"])
-    return placed.select("rid", "src", "day", *values, "full", (F.col("start") + F.col("n") - 1).alias("pos"))
+    return placed.select("rid", "src", "day", *values, "full", "of", (F.col("start") + F.col("n") - 1).alias("pos"))
 
 
 def flag_readings(df: DataFrame, source: str, day: str, row_id: str, metrics: Sequence[str], *,
@@ -175,9 +189,11 @@ def flag_readings(df: DataFrame, source: str, day: str, row_id: str, metrics: Se
 
     own, within = F.floor(F.col("pos") / block), F.col("pos") % block
     copies = F.array_compact(F.array(own, F.when((within < HALO) & (own > 0), own - 1), F.when(within >= block - HALO, own + 1)))
-    blocks = placed.filter("day is not null").withColumn("block", F.explode(copies)).withColumn("own", own == F.col("block")).withColumn("g", F.concat_ws("/", F.col("block").cast("string"), "src"))
+    blocks = placed.filter("day is not null").withColumn("block", F.explode(copies)).withColumn("own", own == F.col("block"))
+    mark = F.right(F.hex(F.xxhash64("src", "block")), F.lit(8))  # eight letters by which names in a sort differ at once
+    blocks = blocks.withColumn("g", F.concat_ws("/", mark, F.col("block").cast("string"), "src")).withColumn("alone", F.col("of") <= block)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = blocks.select("g", "src", "rid", "pos", "own", "full", *[f"m{k}" for k in range(m)]).repartition(n, "g")
+    blocks = blocks.select("g", "src", "rid", "pos", "own", "alone", "full", *[f"m{k}" for k in range(m)]).repartition(n, "g")
     parts = [f"{part}{k}" for k in range(m) for part in ("dev", *(f"c{h}_" for h in range(LEVELS)))]
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -190,8 +206,14 @@ def flag_readings(df: DataFrame, source: str, day: str, row_id: str, metrics: Se
                     column = np.full(len(rows), np.nan)
                     column[sound] = np.round(values / full[sound], PLACES)
                     out[f"{part}{k}"] = column[own]
-            yield pd.DataFrame({"src": rows["src"].to_numpy()[own], **out})
-
+            group = _group_numbers(rows)[own]
+            src, alone = rows["src"].to_numpy()[own], rows["alone"].to_numpy(bool)[own]
+            first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]] & alone) if len(group) else np.zeros(0, dtype=int)
+            whole = {part: _group_medians(values[alone], group[alone]) for part, values in out.items()}
+            yield pd.DataFrame({"src": src[first], **whole})
+            yield pd.DataFrame({"src": src[~alone], **{part: values[~alone] for part, values in out.items()}})
+
+    # the medians of a source that is one block are taken there, those of others over all their values
     measured = blocks.sortWithinPartitions("g", "pos").mapInPandas(measure, "src string, " + ", ".join(f"{p} double" for p in parts))
     scales = measured.groupBy("src").agg(*[(F.median(p) * ROBUST).alias(p) for p in parts])
     of_block = blocks.select("g", "src").distinct().join(scales, "src").select("g", *parts)
