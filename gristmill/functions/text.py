@@ -112,7 +112,7 @@ NAME_HEAD = 300
 
 def name_phrases(c: Column, head: int = NAME_HEAD) -> Column:
     """Phrases of two to four capitalised words among the first ``head`` characters, where documents name what they are about; each once."""
-    return F.array_distinct(F.regexp_extract_all(F.substring(c, 1, head), F.lit(r"\b[A-Z][a-z]+(?: [A-Z][a-z]+){1,3}\b"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(F.substring(c, 1, head), F.lit(r"\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+){1,3}"), F.lit(0)))
 
 
 def title_of(c: Column, most: int = 90) -> Column:

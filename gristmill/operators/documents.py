@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gristmill.functions.text import CODE
 
@@ -75,3 +75,26 @@ def mentions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """``key, code, n``: identifiers in texts and how often."""
     found = docs.select(key, F.explode(F.regexp_extract_all(text, F.lit(CODE), F.lit(0))).alias("code"))
     return found.groupBy(key, "code").agg(F.count("*").alias("n"))
+
+
+def removed(documents: DataFrame, units: DataFrame, edges: DataFrame, key: str = "doc_id", code: str = "doc_code") -> tuple[DataFrame, DataFrame]:
+    """(``units``, ``edges``) without what hangs on the removed ``documents``: their units by ``key``, edges with either end at their ``code``."""
+    gone = documents.select(F.col(code).alias("_gone")).filter("_gone is not null").distinct()
+    left = units.join(documents.select(key).distinct(), key, "left_anti")
+    for end in ("src", "dst"):
+        edges = edges.join(gone, F.col(end) == F.col("_gone"), "left_anti")
+    return left, edges
+
+
+def longest_aliases(texts: DataFrame, phrases: DataFrame, key: str, text: str, least: int = 3) -> DataFrame:
+    """``key, id, turn, rank``: what each text names: explicit identifiers first, then aliases of ``least`` letters or more, the longest first.
+
+    Each id counts once for a text, by its best turn (1 identifier, 2 alias); of equally long aliases the first by name.
+    """
+    explicit = texts.select(key, F.posexplode(F.array_distinct(F.regexp_extract_all(text, F.lit(CODE), F.lit(0)))).alias("at", "id"))
+    explicit = explicit.select(key, "id", F.struct(F.lit(1).alias("turn"), F.col("at").alias("place"), F.lit("").alias("alias")).alias("order"))
+    named = phrases_in(texts, phrases.filter(F.length("alias") >= least), key, text)
+    named = named.select(key, "id", F.struct(F.lit(2).alias("turn"), (-F.length("alias")).alias("place"), "alias").alias("order"))
+    best = explicit.unionByName(named).groupBy(key, "id").agg(F.min("order").alias("order"))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("order", "id"))
+    return best.select(key, "id", F.col("order.turn").alias("turn"), rank.alias("rank"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -95,6 +96,62 @@ def edges_of_rows(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
     Keys count whatever their case and kind of hyphen; both ends come in the form of ``clean_key``.
     """
-    long = rows.select(clean_key(F.col(key)).alias("src"), *columns).unpivot(["src"], columns, "rel", "text")
+    return _related(rows.select(clean_key(F.col(key)).alias("src"), *columns), columns)
+
+
+def walk_scores(reached: DataFrame) -> DataFrame:
+    """``id, score`` from ``reach``: 1 for a seed, 1 / hops for what is further, the best over all seeds."""
+    score = F.when(F.col("hops") == 0, 1.0).otherwise(1.0 / F.col("hops"))
+    return reached.groupBy("id").agg(F.max(score).alias("score"))
+
+
+def first_meeting(edges: DataFrame, starts: DataFrame, goals: DataFrame, depth: int) -> DataFrame:
+    """``src, dst, hops, path``: for each start (``src``) the shortest path to the first node among ``goals`` (``id``); of equally short ones the first by its ids.
+
+    Only the starts' own reach is walked, and a pair of start and goal comes from that reach, not from all pairs.
+    """
+    reached = reach(edges, starts.select(F.col("src").alias("seed")).distinct(), depth).filter("hops > 0")
+    near = reached.join(goals.select("id").distinct(), "id", "left_semi")
+    least = near.groupBy("seed").agg(F.min("hops").alias("hops"))
+    pairs = near.join(least, ["seed", "hops"]).select(F.col("seed").alias("src"), F.col("id").alias("dst"))
+    found = shortest_paths(edges, pairs, depth)
+    return found.groupBy("src").agg(F.min(F.struct("hops", "path", "dst")).alias("m")).select("src", "m.dst", "m.hops", "m.path")
+
+
+def verified_hops(hops: DataFrame, edges: DataFrame) -> DataFrame:
+    """``hops`` (``src, dst``) beside ``verified``: whether an edge joins the two, in either direction."""
+    there = both_ways(edges).select("src", "dst").distinct().withColumn("verified", F.lit(True))
+    return hops.join(there, ["src", "dst"], "left").withColumn("verified", F.coalesce("verified", F.lit(False)))
+
+
+IDENTITY = r"^(?:id|.*_id|po|wo|qid|key)$"  # names of columns that say which thing a row is about
+
+
+def edges_of_table(rows: DataFrame) -> DataFrame:
+    """``src, rel, dst`` of any table: its subject is the first identifier of the identity-like column, else the first of the row.
+
+    All string columns are read in their order; a row without an identifier gives none.
+    """
+    texts = [f.name for f in rows.schema.fields if f.dataType.simpleString() == "string"]
+    named = [c for c in texts if re.match(IDENTITY, c)]
+    ids = {c: identifiers(plain_codes(F.coalesce(F.col(c), F.lit("")))) for c in texts}
+    first = F.element_at(F.flatten(F.array(*[ids[c] for c in [*named[:1], *texts]])), 1) if texts else F.lit(None)
+    return _related(rows.filter(F.size(F.flatten(F.array(*ids.values()))) > 0).select(first.alias("src"), *texts), texts)
+
+
+def _related(rows: DataFrame, columns: list[str]) -> DataFrame:
+    long = rows.unpivot(["src"], columns, "rel", "text")
     found = long.select("src", F.upper(F.regexp_replace("rel", "[^A-Za-z0-9]+", "_")).alias("rel"), F.explode(identifiers(plain_codes(F.col("text")))).alias("dst"))
     return found.filter("src <> dst").distinct()
+
+
+def grounded(entities: DataFrame, relations: DataFrame, texts: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(entities that stand in their text word for word, relations of which both ends are such and differ).
+
+    ``entities`` has ``key, entity``, ``relations`` ``key, src, dst``, ``texts`` ``key, text``.
+    """
+    kept = entities.join(texts.select(key, "text"), key).filter("entity <> '' and contains(text, entity)").drop("text").distinct()
+    ends = relations.filter("src <> dst")
+    for end in ("src", "dst"):
+        ends = ends.join(kept.select(key, F.col("entity").alias(end)), [key, end], "left_semi")
+    return kept, ends.select(key, "src", "dst").distinct()

@@ -7,7 +7,9 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gristmill.functions.keys import clean_key, plain_codes
 from gristmill.functions.normalize import nearly_equal
+from gristmill.functions.text import CODE
 
 
 def where_equal(df: DataFrame, **values) -> DataFrame:
@@ -101,3 +103,33 @@ def majority(df: DataFrame, key: str, value: str) -> DataFrame:
         F.min_by(value, F.struct(-F.col("n"), F.col(value))).alias("winner"), F.sum("n").alias("n_votes"),
         (F.count("*") == 1).alias("unanimous"),
     )
+
+
+def across(tables: dict[str, DataFrame], keys: dict[str, str], wanted: DataFrame) -> DataFrame:
+    """``key, table_name, n_rows``: in which tables each wanted key (``key``) is the key of a row; keys compare as by ``clean_key``."""
+    found = [df.distinct().select(clean_key(F.col(keys[name])).alias("key"), F.lit(name).alias("table_name")) for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, found).join(wanted.select("key").distinct(), "key", "left_semi").groupBy("key", "table_name").agg(F.count("*").alias("n_rows"))
+
+
+def naming(df: DataFrame, refs: DataFrame, ref: str = "ref") -> DataFrame:
+    """Rows beside each ``ref``, an identifier, that stands anywhere in one of their fields, lists included."""
+    fields = [F.concat_ws(" ", F.col(f.name)) if f.dataType.typeName() in ("string", "array") else F.col(f.name).cast("string") for f in df.schema.fields]
+    found = F.array_distinct(F.regexp_extract_all(plain_codes(F.concat_ws(" ", *fields)), F.lit(CODE), F.lit(0)))
+    return df.withColumn(ref, F.explode(found)).join(refs.select(ref).distinct(), ref, "left_semi")
+
+
+COUNTRIES = {"US": ("USA", "U.S.A.", "UNITED STATES", "US")}  # fixed values: typings of a country that count as the same
+
+
+def in_country(df: DataFrame, column: str, country: str = "US") -> DataFrame:
+    return df.filter(F.upper(F.trim(column)).isin(*COUNTRIES[country]))
+
+
+def verify_sets(claimed: DataFrame, found: DataFrame, key: str, member: str) -> DataFrame:
+    """``key, n_claimed, n_found, verified``: whether the members claimed for a key are all and only those found.
+
+    Counts decide, so no set is gathered into one row. A claim of nothing needs nothing to be found.
+    """
+    both = claimed.select(key, member).distinct().withColumn("c", F.lit(1)).join(found.select(key, member).distinct().withColumn("f", F.lit(1)), [key, member], "full")
+    per = both.groupBy(key).agg(F.count("c").alias("n_claimed"), F.count("f").alias("n_found"), F.count(F.when(F.col("c") == F.col("f"), 1)).alias("n_both"))
+    return per.select(key, "n_claimed", "n_found", ((F.col("n_both") == F.col("n_claimed")) & (F.col("n_both") == F.col("n_found"))).alias("verified"))

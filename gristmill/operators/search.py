@@ -141,3 +141,23 @@ def retrieval_metrics(ranked: DataFrame, gold: DataFrame, ks: tuple[int, ...] =
     )
     recalls = [F.round(F.avg((F.col(f"in_{k}") == F.col("n_gold")).cast("double")), 6).alias(f"recall_at_{k}") for k in ks]
     return per.agg(F.count("*").alias("n_queries"), *recalls, F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
+
+
+def floor_union(sure: DataFrame, reranked: DataFrame, floor: int, k: int, key: str = "doc_id") -> DataFrame:
+    """``query_id, key, rank, lane``: the first ``floor`` of ``sure``, then ``reranked``, each once in that order, ``k`` at most.
+
+    So reranking never loses what the first lane was sure of. Both have ``query_id, key, rank``.
+    """
+    part = lambda df, turn, lane: df.select("query_id", key, F.struct(F.lit(turn).alias("turn"), "rank").alias("at"), F.lit(lane).alias("lane"))
+    both = part(sure.filter(F.col("rank") <= floor), 0, "floor").unionByName(part(reranked, 1, "reranked"))
+    once = both.groupBy("query_id", key).agg(F.min(F.struct("at", "lane")).alias("m"))
+    order = Window.partitionBy("query_id").orderBy("m.at", key)
+    return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", key, "rank", F.col("m.lane").alias("lane"))
+
+
+def best_branch(branches: list[DataFrame], key: str = "doc_id") -> DataFrame:
+    """``query_id, key, score``: the best score that any branch (``query_id, key, score``) gives."""
+    rows = branches[0]
+    for branch in branches[1:]:
+        rows = rows.unionByName(branch)
+    return rows.groupBy("query_id", key).agg(F.max("score").alias("score"))

@@ -26,6 +26,16 @@ def latest(spark: SparkSession, path: str, keys: list[str], version: str) -> Dat
     return df.groupBy(*keys).agg(newest).select(*keys, "r.*").drop("epoch")
 
 
+def done(query: StreamingQuery) -> None:
+    """Wait until a stream has taken in what is there now; its failure is raised."""
+    query.awaitTermination()
+
+
+def finished(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Append what a stream gives to ``path`` until what is there now is done."""
+    done(stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start())
+
+
 def windowed_counts(events: DataFrame, ts: str, kind: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """``start, kind, n, total`` per tumbling window, closed once the watermark has passed."""
     at = events.withWatermark(ts, late).groupBy(F.window(ts, width), kind)
