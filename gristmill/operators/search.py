@@ -31,7 +31,9 @@ def postings(docs: DataFrame, words: Column, terms: DataFrame, key: str = "doc_i
     read = docs.select(F.col(key).alias("doc"), F.coalesce(words, F.array().cast("array<string>")).alias("words"))
     mark = terms.sparkSession.createDataFrame([("",)], "term string")
     asked = terms.select("term").distinct().unionByName(mark)
-    each = read.select("doc", F.size("words").alias("length"), F.explode(F.array_append("words", F.lit(""))).alias("term"))
+    # the length is worked out before the words become rows, or it would be once for every row
+    sized = read.select("doc", F.size("words").alias("length"), F.array_append("words", F.lit("")).alias("terms"))
+    each = sized.select("doc", "length", F.explode("terms").alias("term"))
     kept = staged(each.join(asked, "term", "left_semi").groupBy("doc", "length", "term").agg(F.count("*").alias("tf")), "postings")
     size = kept.filter("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("length") * F.col("tf")) / F.sum("tf")).alias("mean"))
     return kept.filter("term <> ''"), size

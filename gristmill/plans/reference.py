@@ -26,10 +26,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every question, each number once."""
+    """Questions whose number is divisible by 3, each number once: a query set, searched for in all documents."""
     asked = table(spark, sf_dir, "questions").select("qid", "question")
     number = F.regexp_extract("qid", r"(\d+)", 1).try_cast("bigint")
-    return asked.filter(number.isNotNull()).groupBy(F.concat(F.lit("Q"), number).alias("query_id")).agg(F.min("question").alias("text"))
+    return asked.filter(number % 3 == 0).groupBy(F.concat(F.lit("Q"), number).alias("query_id")).agg(F.min("question").alias("text"))
 
 
 def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:

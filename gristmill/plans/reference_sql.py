@@ -7,7 +7,7 @@ from gristmill.plans.reference import CLASSES, LABELS
 _QUESTIONS = """
 questions_asked as (
   select 'Q' || n as query_id, min(question) as text from (select try_cast(regexp_extract(qid, '(\\d+)', 1) as bigint) as n, question from questions)
-  where n is not null group by n
+  where n % 3 = 0 group by n
 )
 """
 _TOKENS = r"regexp_extract_all(lower({0}), '[a-z0-9][a-z0-9\-]+')"
