@@ -142,14 +142,15 @@ def _numbered(rows: DataFrame, metrics: int) -> DataFrame:
     """``rows`` (each once) beside ``pos`` within their source, its number of rows (``of``) and its ``full`` scale."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     day = F.datediff("day", F.lit("1970-01-01").cast("date"))
-    rows = rows.withColumn("span", F.coalesce(F.floor(day / SPAN), F.lit(-(1 << 40)))).repartition(n, "src", "span").distinct()
-    order = Window.partitionBy("src", "span").orderBy("day", "rid")
+    rows = rows.withColumn("span", F.coalesce(F.floor(day / SPAN), F.lit(-(1 << 40)))).withColumn("h", F.xxhash64("src", "span"))
+    rows = rows.repartition(n, "h").distinct()  # the hash comes first wherever rows are put in order, as names differ late
+    order = Window.partitionBy("h", "src", "span").orderBy("day", "rid")
     values = [F.col(f"m{k}") for k in range(metrics)]
     finite = [F.when(v < float("inf"), v) for v in values]
     add = lambda cols: reduce(lambda a, b: a + b, cols)
     low, high = [F.when(v <= 1.5, v) for v in finite], [F.when(v > 1.5, v) for v in finite]
     most = lambda f, cols: f(*cols) if len(cols) > 1 else cols[0]
-    spans = rows.groupBy("src", "span").agg(
+    spans = rows.groupBy("h", "src", "span").agg(
         F.count("*").alias("rows"), F.sum(add([v.isNotNull().cast("int") for v in finite])).alias("n"), F.sum(add([v.isNotNull().cast("int") for v in high])).alias("above"),
         F.max(most(F.greatest, low)).alias("low"), F.min(most(F.least, high)).alias("high"),
     )
@@ -157,8 +158,8 @@ def _numbered(rows: DataFrame, metrics: int) -> DataFrame:
     whole = Window.partitionBy("src")
     n_all, above = F.sum("n").over(whole), F.sum("above").over(whole)
     percent = (above * 2 > n_all) | (above * 2 == n_all) & (n_all > 0) & (F.max("low").over(whole) + F.min("high").over(whole) > 3.0)
-    starts = spans.select("src", "span", F.sum("rows").over(whole).alias("of"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"), F.when(percent, 100.0).otherwise(1.0).alias("full"))
-    placed = rows.withColumn("n", F.row_number().over(order)).join(starts, ["src", "span"])
+    starts = spans.select("h", "src", "span", F.sum("rows").over(whole).alias("of"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"), F.when(percent, 100.0).otherwise(1.0).alias("full"))
+    placed = rows.withColumn("n", F.row_number().over(order)).join(starts, ["h", "src", "span"])
     return placed.select("rid", "src", "day", *values, "full", "of", (F.col("start") + F.col("n") - 1).alias("pos"))
 
 
@@ -191,9 +192,10 @@ def flag_readings(df: DataFrame, source: str, day: str, row_id: str, metrics: Se
     copies = F.array_compact(F.array(own, F.when((within < HALO) & (own > 0), own - 1), F.when(within >= block - HALO, own + 1)))
     blocks = placed.filter("day is not null").withColumn("block", F.explode(copies)).withColumn("own", own == F.col("block"))
     mark = F.right(F.hex(F.xxhash64("src", "block")), F.lit(8))  # eight letters by which names in a sort differ at once
-    blocks = blocks.withColumn("g", F.concat_ws("/", mark, F.col("block").cast("string"), "src")).withColumn("alone", F.col("of") <= block)
+    name = F.concat_ws("/", mark, F.col("block").cast("string"), "src")
+    blocks = blocks.withColumn("g", name)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = blocks.select("g", "src", "rid", "pos", "own", "alone", "full", *[f"m{k}" for k in range(m)]).repartition(n, "g")
+    blocks = blocks.select("g", "src", "of", "rid", "pos", "own", "full", *[f"m{k}" for k in range(m)]).repartition(n, "g")
     parts = [f"{part}{k}" for k in range(m) for part in ("dev", *(f"c{h}_" for h in range(LEVELS)))]
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,16 +209,17 @@ def flag_readings(df: DataFrame, source: str, day: str, row_id: str, metrics: Se
                     column[sound] = np.round(values / full[sound], PLACES)
                     out[f"{part}{k}"] = column[own]
             group = _group_numbers(rows)[own]
-            src, alone = rows["src"].to_numpy()[own], rows["alone"].to_numpy(bool)[own]
+            src, of = rows["src"].to_numpy()[own], rows["of"].to_numpy()[own]
+            alone = of <= block
             first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]] & alone) if len(group) else np.zeros(0, dtype=int)
             whole = {part: _group_medians(values[alone], group[alone]) for part, values in out.items()}
-            yield pd.DataFrame({"src": src[first], **whole})
-            yield pd.DataFrame({"src": src[~alone], **{part: values[~alone] for part, values in out.items()}})
+            yield pd.DataFrame({"src": src[first], "of": of[first], **whole})
+            yield pd.DataFrame({"src": src[~alone], "of": of[~alone], **{part: values[~alone] for part, values in out.items()}})
 
     # the medians of a source that is one block are taken there, those of others over all their values
-    measured = blocks.sortWithinPartitions("g", "pos").mapInPandas(measure, "src string, " + ", ".join(f"{p} double" for p in parts))
-    scales = measured.groupBy("src").agg(*[(F.median(p) * ROBUST).alias(p) for p in parts])
-    of_block = blocks.select("g", "src").distinct().join(scales, "src").select("g", *parts)
+    measured = blocks.sortWithinPartitions("g", "pos").mapInPandas(measure, "src string, of bigint, " + ", ".join(f"{p} double" for p in parts))
+    scales = measured.groupBy("src").agg(F.max("of").alias("of"), *[(F.median(p) * ROBUST).alias(p) for p in parts])
+    of_block = scales.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("of") - 1) / block)))).select(name.alias("g"), *parts)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _groups(batches):
@@ -234,5 +237,6 @@ def flag_readings(df: DataFrame, source: str, day: str, row_id: str, metrics: Se
                     yield pd.DataFrame({"rid": rid[places], "metric": metric, "verdict": verdict})
 
     id_type = df.schema[row_id].dataType.simpleString()
-    judged = blocks.join(of_block, "g", "left").drop("src").sortWithinPartitions("g", "pos").mapInPandas(judge, f"rid {id_type}, metric string, verdict string")
+    # both passes read the same exchange, so neither may leave out a column of it
+    judged = blocks.join(of_block, "g", "left").sortWithinPartitions("g", "pos").mapInPandas(judge, f"rid {id_type}, metric string, verdict string")
     return judged.unionByName(undated).withColumnRenamed("rid", row_id)
