@@ -39,7 +39,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-SPREAD_BYTES = 32 << 20  # of input for each core
+SPREAD_BYTES = 4 << 20  # of input for each core
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
