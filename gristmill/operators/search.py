@@ -52,8 +52,10 @@ def bm25(queries: DataFrame, docs: DataFrame, words: Column, key: str = "doc_id"
     idf = F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5))
     terms = found.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(size))  # one row
     weight = F.col("tf") * (K1 + 1.0) / (F.col("tf") + K1 * (1.0 - B + B * F.col("length") / F.col("mean")))
-    asked = asked.join(terms, "term").select("query_id", "term", "mean", (F.col("times") * idf).alias("gain"))
-    scored = found.join(asked, "term").groupBy("query_id", F.col("doc").alias(key)).agg(F.sum(F.col("gain") * weight).alias("score"))
+    # written, so that Spark knows its size and sends it out whole where it is small; then a document's scores meet in one task
+    asked = staged(asked.join(terms, "term").select("query_id", "term", "mean", (F.col("times") * idf).alias("gain")), "gains")
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    scored = found.repartition(parts, "doc").join(asked, "term").groupBy("query_id", F.col("doc").alias(key)).agg(F.sum(F.col("gain") * weight).alias("score"))
     return scored.filter("score > 0")
 
 
