@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.text import tokens
 from gristmill.operators import search as S
-from gristmill.plans import reference
+from gristmill.plans import answers, reference
 from gristmill.scratch import scratch_dir
 
 from .conftest import rows
@@ -81,3 +81,25 @@ def test_title_weighted_search_does_not_score_all_pairs(spark, tmp_path):
     expected = S.top_k(S.bm25(reference._title_queries(spark, d), spark.read.parquet(f"{d}/documents.parquet"), words), 10)
     assert rows(reference.bm25_title_weighted(spark, d)) == rows(expected)
     assert 0 < pairs_of(spark, lambda: reference.bm25_title_weighted(spark, d)) < 6 * 600 / 4
+
+
+def test_overlap_by_postings_is_that_of_the_texts(spark, made):
+    queries, docs = made
+    of = S.index(queries, docs, tokens(F.col("text")))
+    found = S.ranked(of, 3).select("query_id", "doc_id").union(spark.createDataFrame([("null", 1), ("q1", 300), ("q1", 302)], "query_id string, doc_id long")).localCheckpoint()
+    texts = found.join(queries.withColumnRenamed("text", "question"), "query_id").join(docs, "doc_id")
+    expected = texts.select("query_id", "doc_id", S.overlap(F.col("question"), F.col("text")).alias("score"))
+    assert sorted(S.overlaps(of, queries, found).collect()) == sorted(expected.collect())
+
+
+def test_evidence_is_looked_through_once_with_the_same_coverage(spark):
+    docs = spark.createDataFrame([(1, "The oven's lid"), (2, "pumpkin, clamp-force"), (3, None), (4, "pump"), (4, "valve")], "doc_id long, text string")
+    asked = spark.createDataFrame([("a", ["oven", "pump"]), ("b", ["clamp-force", "force", "lid"]), ("c", ["oven"]), ("d", ["pump", "valve"]), ("e", [])], "query_id string, terms array<string>")
+    found = spark.createDataFrame([("a", 1), ("a", 2), ("b", 2), ("c", 3), ("d", 4), ("e", 1), ("b", 99)], "query_id string, doc_id long")
+    expected = rows(S.coverage(found.join(asked, "query_id").join(docs, "doc_id"), "terms", "text"))
+    assert rows(S.coverage_of(found, asked, docs)) == rows(S.coverage_of(found, asked, docs, most_terms=0)) == expected
+
+
+def test_evidence_does_not_score_all_pairs(spark, tmp_path):
+    d = write_tables(spark, tmp_path)
+    assert 0 < pairs_of(spark, lambda: answers.retrieve_evidence(spark, d)) < 100 * 600 / 4
