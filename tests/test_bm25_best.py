@@ -103,3 +103,8 @@ def test_evidence_is_looked_through_once_with_the_same_coverage(spark):
 def test_evidence_does_not_score_all_pairs(spark, tmp_path):
     d = write_tables(spark, tmp_path)
     assert 0 < pairs_of(spark, lambda: answers.retrieve_evidence(spark, d)) < 100 * 600 / 4
+
+
+def test_lanes_do_not_score_all_pairs(spark, tmp_path):
+    d = write_tables(spark, tmp_path)
+    assert 0 < pairs_of(spark, lambda: reference.weighted_rrf_lanes(spark, d)) < 100 * 600 / 4
