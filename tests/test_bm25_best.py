@@ -108,3 +108,9 @@ def test_evidence_does_not_score_all_pairs(spark, tmp_path):
 def test_lanes_do_not_score_all_pairs(spark, tmp_path):
     d = write_tables(spark, tmp_path)
     assert 0 < pairs_of(spark, lambda: reference.weighted_rrf_lanes(spark, d)) < 100 * 600 / 4
+
+
+@pytest.mark.parametrize("name, queries", [("abstention", 100), ("coverage_fraction", 100), ("retrieval_quality", 100), ("bm25_topk", 6), ("lexical_rerank", 6)])
+def test_no_search_scores_all_pairs(spark, tmp_path, name, queries):
+    d = write_tables(spark, tmp_path)
+    assert 0 < pairs_of(spark, lambda: reference.QUERIES[name](spark, d)) < queries * 600 / 4
