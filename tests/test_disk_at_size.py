@@ -36,7 +36,7 @@ def shuffled(spark) -> dict[int, int]:
     return {s.stageId(): s.shuffleWriteBytes() for s in map(stages.apply, range(stages.size()))}
 
 
-@pytest.mark.parametrize("name", ["weighted_rrf_lanes", "abstention", "coverage_fraction", "retrieval_quality", "bm25_topk"])
+@pytest.mark.parametrize("name", ["weighted_rrf_lanes", "abstention", "coverage_fraction", "retrieval_quality", "bm25_topk", "lexical_rerank"])
 def test_neither_texts_nor_all_pairs_are_written(spark, made, monkeypatch, name):
     monkeypatch.setattr(scratch, "SPREAD_BYTES", 0)  # small inputs are spread on purpose
     last, kept = max(shuffled(spark)), size(scratch.scratch_dir(spark))
